@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import stack_rows
 from ..session import settle
 
 MAX_PATH = 57
@@ -44,10 +45,10 @@ def parent_edges(dogs: DataFrame) -> DataFrame:
     """(child, letter, parent) for every parent that exists as a row. Carries three columns only."""
     long = dogs.select(
         F.col("id").alias("child"),
-        F.inline(F.array(
-            F.struct(F.lit(0).cast("bigint").alias("letter"), F.col("sire_id").alias("parent")),
-            F.struct(F.lit(1).cast("bigint"), F.col("dam_id")),
-        )),
+        stack_rows(
+            ["letter", "parent"],
+            (F.lit(0).cast("bigint"), F.col("sire_id")), (F.lit(1).cast("bigint"), F.col("dam_id")),
+        ),
     ).filter("parent is not null")
     return long.join(dogs.select(F.col("id").alias("parent")), "parent", "left_semi")
 
@@ -232,10 +233,10 @@ def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = No
     rows, last = bounded_levels(edges, generations, roots)
     best = settle(rows.select("root", "side", "node", "low"))
     members = best.select("root", "node").distinct()
-    frontier = last.select("root", "side", "node", "low", F.lit(0).cast("bigint").alias("high"))
+    frontier = last.select("root", "side", "node", "low")
     up = edges.select(F.col("child").alias("node"), "letter", "parent")
     for _ in range(max_rounds):
-        grown = frontier.select("root", "side", "node", "low").alias("f").join(up.alias("e"), "node")
+        grown = frontier.alias("f").join(up.alias("e"), "node")
         bits = F.shiftleft(key_bits(F.col("low")), 1).bitwiseOR(F.col("letter"))
         step = grown.select(
             "root", "side", F.col("parent").alias("node"),
@@ -319,10 +320,9 @@ def inbreeding_details(paths: DataFrame, dogs: DataFrame) -> DataFrame:
     of the prefixes with the same table; a list holds at most 57 ids.
     """
     rows = contributions(paths, dogs)
-    tails = rows.select("root", "node", F.inline(F.array(
-        F.struct(F.lit("sire_path").alias("kind"), F.col("sire_key").alias("full_key")),
-        F.struct(F.lit("dam_path"), F.col("dam_key")),
-    )))
+    tails = rows.select("root", "node", stack_rows(
+        ["kind", "full_key"], (F.lit("sire_path"), F.col("sire_key")), (F.lit("dam_path"), F.col("dam_key")),
+    ))
     length = key_length(F.col("full_key"))
     prefixes = tails.select("root", "node", "kind", length.alias("length"), key_bits(F.col("full_key")).alias("bits"),
                             F.explode(F.sequence(F.lit(1), length)).alias("step"))

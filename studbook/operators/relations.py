@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import stack_rows
+
 # The slim view of a parent or sibling.
 SLIM_COLUMNS = [
     "id", "uuid", "registered_name", "call_name", "sex", "date_of_birth", "color", "source",
@@ -34,10 +36,7 @@ def join_offspring(dogs: DataFrame, registry: DataFrame) -> DataFrame:
     """One row per (parent, child, role)."""
     children = registry.select(
         F.col("id").alias("child_id"),
-        F.inline(F.array(
-            F.struct(F.col("sire_id").alias("parent_id"), F.lit("sire").alias("role")),
-            F.struct(F.col("dam_id"), F.lit("dam")),
-        )),
+        stack_rows(["parent_id", "role"], (F.col("sire_id"), F.lit("sire")), (F.col("dam_id"), F.lit("dam"))),
     ).filter(F.col("parent_id").isNotNull())
     return children.join(dogs.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
 
@@ -76,8 +75,8 @@ def join_birth_litter(dogs: DataFrame, litters: DataFrame) -> DataFrame:
 def join_litters_by_role(dogs: DataFrame, litters: DataFrame) -> DataFrame:
     """Litters an animal took part in, with its role."""
     roles = [(r, f"{r}_id") for r in ("dam", "sire", "mating_partner") if f"{r}_id" in litters.columns]
-    parts = F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("dog_id")) for r, c in roles])
-    long = litters.select(F.col("id").alias("litter_id"), "date_of_birth", F.inline(parts)).filter("dog_id is not null")
+    parts = stack_rows(["role", "dog_id"], *[(F.lit(r), F.col(c)) for r, c in roles])
+    long = litters.select(F.col("id").alias("litter_id"), "date_of_birth", parts).filter("dog_id is not null")
     return long.join(dogs.select(F.col("id").alias("dog_id")), "dog_id", "left_semi")
 
 
@@ -123,10 +122,9 @@ def entity_profile(
     with a null relation, so nobody is lost.
     """
     wanted = dogs.select(F.col("id").alias("dog_id"), "sire_id", "dam_id")
-    long_parents = wanted.select("dog_id", F.inline(F.array(
-        F.struct(F.lit("sire").alias("relation"), F.col("sire_id").alias("related_id")),
-        F.struct(F.lit("dam"), F.col("dam_id")),
-    ))).filter("related_id is not null")
+    long_parents = wanted.select("dog_id", stack_rows(
+        ["relation", "related_id"], (F.lit("sire"), F.col("sire_id")), (F.lit("dam"), F.col("dam_id")),
+    )).filter("related_id is not null")
     names = registry.select(F.col("id").alias("related_id"), F.col("registered_name").alias("label"))
     parents = long_parents.join(names, "related_id")
 

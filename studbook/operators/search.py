@@ -25,9 +25,9 @@ FLAG_COLUMNS = ["neutered", "approved_for_breeding", "frozen_semen", "artificial
 MAX_PER_PAGE = 100
 
 
-def _contains_pattern(term: str) -> Column:
+def _contains_pattern(term: str) -> str:
     # A backslash before an ordinary character means that character; Spark would reject it.
-    return F.lit("%" + re.sub(r"\\([^%_\\])", r"\1", term) + "%")
+    return "%" + re.sub(r"\\([^%_\\])", r"\1", term) + "%"
 
 
 def filter_search_text(dogs: DataFrame, term: str | None) -> DataFrame:
