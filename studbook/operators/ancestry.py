@@ -153,63 +153,70 @@ def lineage_graph(dogs: DataFrame, generations: int = 5, ids: DataFrame | None =
     return labelled, drawn
 
 
-# Rows below hold one line per (root, side, node): side 0 is the sire's, side 1 the dam's.
+# Rows below hold one line per (root, node) with a key for each side: `s_` over the sire, `d_` over the dam.
+SIDES = {"s": 0, "d": 1}
 
-def _side(bits: Column, gen: Column) -> Column:
-    return F.call_function("shiftright", bits, (gen - 1).cast("int"))
 
-
-def _collapse(paths: DataFrame) -> DataFrame:
-    """Smallest and largest path key per (root, side, node)."""
+def _collapse(paths: DataFrame, depth: int) -> DataFrame:
+    """Per (root, node): the largest path key, and per side the smallest key and the smallest of exactly `depth` edges."""
     key = path_key(F.col("bits"), F.col("gen"))
-    return paths.groupBy("root", _side(F.col("bits"), F.col("gen")).alias("side"), "node").agg(
-        F.min(key).alias("low"), F.max(key).alias("high")
-    )
+    side = F.call_function("shiftright", F.col("bits"), (F.col("gen") - 1).cast("int"))
+    keyed = paths.select("root", "node", key.alias("key"), side.alias("side"), (F.col("gen") == depth).alias("at_end"))
+    lows = [F.min(F.when(F.col("side") == code, F.col("key"))).alias(f"{name}_low") for name, code in SIDES.items()]
+    ends = [F.min(F.when((F.col("side") == code) & F.col("at_end"), F.col("key"))).alias(f"{name}_end") for name, code in SIDES.items()]
+    return keyed.groupBy("root", "node").agg(*lows, *ends, F.max("key").alias("high"), F.max(F.when(F.col("at_end"), F.col("key"))).alias("high_end"))
 
 
-def _climb(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """One more generation for collapsed rows; the smallest and largest paths stay so when both grow by one edge."""
-    up = edges.select(F.col("child").alias("node"), "letter", "parent")
-    joined = rows.alias("r").join(up.alias("e"), "node")
+def _longer(key: Column) -> Column:
+    """The key with the joined edge's letter appended, null for no path."""
+    bits = F.shiftleft(key_bits(key), 1).bitwiseOR(F.col("letter"))
+    too_long = F.raise_error(F.lit("a path among bounded ancestors is longer than 57 edges"))
+    return F.when(key_length(key) < MAX_PATH, path_key(bits, key_length(key) + 1)).when(key.isNotNull(), too_long.cast("bigint"))
 
-    def longer(key: str) -> Column:
-        bits = F.shiftleft(key_bits(F.col(key)), 1).bitwiseOR(F.col("letter"))
-        return path_key(bits, key_length(F.col(key)) + 1)
 
-    return joined.select("root", "side", F.col("parent").alias("node"), longer("low").alias("low"), longer("high").alias("high"))
-
-
-def _regroup(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("root", "side", "node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+def _climb(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row moved on to both parents, every key longer by that edge. Keys of equal length keep their order."""
+    up = edges.select(F.col("child").alias("node"), "letter", "parent")
+    joined = rows.alias("r").join(up.alias("e"), "node")
+    return joined.select("root", F.col("parent").alias("node"), *[_longer(F.col(k)).alias(k) for k in keys])
 
 
-def bounded_levels(edges: DataFrame, generations: int, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Ancestors within generations - 1 edges: (collapsed rows of all levels, collapsed rows of the last level).
+def bounded_levels(edges: DataFrame, generations: int, roots: DataFrame | None = None) -> DataFrame:
+    """Ancestors within generations - 1 edges as (root, node, s_low, d_low, s_end, d_end, high).
 
-    Depth up to ALL_PATHS_DEPTH is one lazy plan. Deeper levels keep one row per (root, side, node) and
-    are written to reliable storage, so the plan and the row count stay in step with distinct ancestors.
+    The `end` keys are the smallest paths of full length, null where the animal is only met earlier. Depth
+    up to ALL_PATHS_DEPTH is one lazy plan with one grouping. Deeper levels keep one row per (root, node)
+    and are written out, so the plan and the row count stay in step with distinct ancestors.
     """
     depth = generations - 1
     shallow = min(depth, ALL_PATHS_DEPTH)
-    paths = ancestor_paths(edges, shallow, roots)
-    last = _collapse(paths.filter(F.col("gen") == shallow))
-    rows = _collapse(paths)
+    rows = _collapse(ancestor_paths(edges, shallow, roots), shallow)
     if depth == shallow:
-        return rows, last
-    rows, last = settle(rows), settle(last)
-    for _ in range(depth - shallow):
-        last = settle(_regroup(_climb(last, edges)))
-        rows = rows.unionByName(last)
-    return _regroup(rows), last
+        return rows.drop("high_end")
+    rows = settle(rows)
+    none = F.lit(None).cast("bigint")
+    last = rows.filter("high_end is not null").select(
+        "root", "node", F.col("s_end").alias("s_low"), F.col("d_end").alias("d_low"), F.col("high_end").alias("high"))
+    levels = [rows.select("root", "node", "s_low", "d_low", none.alias("s_end"), none.alias("d_end"), "high")]
+    for level in range(shallow, depth):
+        last = settle(_climb(last, edges, ["s_low", "d_low", "high"]).groupBy("root", "node").agg(
+            F.min("s_low").alias("s_low"), F.min("d_low").alias("d_low"), F.max("high").alias("high")))
+        final = level == depth - 1
+        levels.append(last.select("root", "node", "s_low", "d_low", (F.col("s_low") if final else none).alias("s_end"),
+                                  (F.col("d_low") if final else none).alias("d_end"), "high"))
+    return reduce(DataFrame.unionByName, levels).groupBy("root", "node").agg(
+        *[F.min(c).alias(c) for c in ("s_low", "d_low", "s_end", "d_end")], F.max("high").alias("high"))
 
 
 def lineage_bounded_set(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = None) -> DataFrame:
     """Animals within generations - 1 edges of each root, with the depth of the last depth-first visit."""
     _check_generations(generations)
     roots = dogs.select("id") if ids is None else dogs.select("id").join(ids.select("id"), "id", "left_semi")
-    rows, _ = bounded_levels(parent_edges(dogs), generations, None if ids is None else roots)
-    visits = rows.groupBy("root", "node").agg(F.max("high").alias("high"))
-    found = visits.select("root", "node", key_length(F.col("high")).alias("gen"))
+    edges = parent_edges(dogs)
+    if generations - 1 > ALL_PATHS_DEPTH:
+        edges = settle(edges)
+    rows = bounded_levels(edges, generations, None if ids is None else roots)
+    found = rows.select("root", "node", key_length(F.col("high")).alias("gen"))
     own = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("gen"))
     return own.unionByName(found)
 
@@ -222,65 +229,66 @@ def _check_generations(generations: int) -> None:
 def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = None, max_rounds: int = MAX_PATH) -> DataFrame:
     """First depth-first path from each root over its sire and over its dam to every ancestor in reach.
 
-    Result: (root, side, node, low), `low` being the path key. Only animals within generations - 1 edges
-    of the root take part, but a path among them may be longer than that. Such longer paths are grown
-    round by round, and only where they reach a new (root, side, node) or beat its path; on acyclic data
-    a beaten path can never lead to a first path, so the rounds die out by themselves.
+    Result: (root, node, s_low, d_low), path keys that are null where that side does not reach the node.
+    Only animals within generations - 1 edges of the root take part, but a path among them may be longer
+    than that. Such longer paths are grown round by round, and only where they reach a node on a new side
+    or beat its path; on acyclic data a beaten path never leads to a first path, so the rounds die out.
+
+    A round is one join with the edges and one grouping by (root, node), which answers both questions:
+    is the node a member, and is the new key smaller.
     """
     _check_generations(generations)
-    edges = parent_edges(dogs)
+    edges = settle(parent_edges(dogs))
     roots = None if ids is None else dogs.select("id").join(ids.select("id"), "id", "left_semi")
-    rows, last = bounded_levels(edges, generations, roots)
-    best = settle(rows.select("root", "side", "node", "low"))
-    members = best.select("root", "node").distinct()
-    frontier = last.select("root", "side", "node", "low")
-    up = edges.select(F.col("child").alias("node"), "letter", "parent")
+    base = settle(bounded_levels(edges, generations, roots).drop("high"))
+    known = base.select("root", "node", "s_low", "d_low")
+    frontier = base.filter("s_end is not null or d_end is not null").select(
+        "root", "node", F.col("s_end").alias("s_low"), F.col("d_end").alias("d_low"))
     for _ in range(max_rounds):
-        grown = frontier.alias("f").join(up.alias("e"), "node")
-        bits = F.shiftleft(key_bits(F.col("low")), 1).bitwiseOR(F.col("letter"))
-        step = grown.select(
-            "root", "side", F.col("parent").alias("node"),
-            F.when(key_length(F.col("low")) < MAX_PATH, path_key(bits, key_length(F.col("low")) + 1))
-            .otherwise(F.raise_error(F.lit("a path among bounded ancestors is longer than 57 edges"))).alias("grown"),
-        )
-        inside = step.join(members, ["root", "node"], "left_semi").groupBy("root", "side", "node").agg(F.min("grown").alias("grown"))
-        better = inside.join(best, ["root", "side", "node"], "left").filter("low is null or grown < low")
-        frontier = settle(better.select("root", "side", "node", F.col("grown").alias("low")))
+        none = F.lit(None).cast("bigint")
+        grown = _climb(frontier, edges, ["s_low", "d_low"]).select(
+            "root", "node", none.alias("s_low"), none.alias("d_low"), F.col("s_low").alias("s_new"), F.col("d_low").alias("d_new"))
+        held = known.select("*", none.alias("s_new"), none.alias("d_new"))
+        met = held.unionByName(grown).groupBy("root", "node").agg(*[F.min(c).alias(c) for c in ("s_low", "d_low", "s_new", "d_new")])
+        changed = [
+            F.when(F.coalesce(F.col(f"{k}_new") < F.col(f"{k}_low"), F.col(f"{k}_low").isNull()), F.col(f"{k}_new")).alias(f"{k}_low")
+            for k in SIDES
+        ]
+        members = met.filter("(s_low is not null or d_low is not null) and (s_new is not null or d_new is not null)")
+        frontier = settle(members.select("root", "node", *changed).filter("s_low is not null or d_low is not null"))
         if frontier.isEmpty():
-            return best
-        best = settle(
-            best.unionByName(frontier).groupBy("root", "side", "node").agg(F.min("low").alias("low"))
-        )
+            return known.groupBy("root", "node").agg(F.min("s_low").alias("s_low"), F.min("d_low").alias("d_low"))
+        known = known.unionByName(frontier)
     raise RuntimeError(f"paths still grow after {max_rounds} rounds: the parent graph has a cycle")
 
 
-def _ancestor_pairs(paths: DataFrame) -> DataFrame:
-    """Ancestors reached on both sides, with both first paths."""
-    def side(value: int) -> Column:
-        return F.min(F.when(F.col("side") == value, F.col("low")))
+def _long_sides(paths: DataFrame) -> DataFrame:
+    """One row per (root, side, node) with its key."""
+    long = paths.select("root", "node", stack_rows(
+        ["side", "low"], (F.lit("sire"), F.col("s_low")), (F.lit("dam"), F.col("d_low"))))
+    return long.filter("low is not null")
+
 
-    both = paths.groupBy("root", "node").agg(side(0).alias("sire_key"), side(1).alias("dam_key"))
-    return both.filter("sire_key is not null and dam_key is not null")
+def _shared(paths: DataFrame) -> DataFrame:
+    """Ancestors reached on both sides."""
+    return paths.filter("s_low is not null and d_low is not null")
 
 
 def lineage_closure(paths: DataFrame) -> DataFrame:
     """Ancestor set on each side of each root, the parent itself included: (root, side, node)."""
-    return paths.select("root", F.when(F.col("side") == 0, "sire").otherwise("dam").alias("side"), "node")
+    return _long_sides(paths).select("root", "side", "node")
 
 
 def lineage_first_path(paths: DataFrame) -> DataFrame:
     """(root, side, node, path, steps); the path starts with the parent's own letter, steps counts from the parent."""
     bits, length = key_bits(F.col("low")), key_length(F.col("low"))
-    return paths.select(
-        "root", F.when(F.col("side") == 0, "sire").otherwise("dam").alias("side"), "node",
-        path_text(bits, length).alias("path"), (length - 1).alias("steps"),
-    )
+    return _long_sides(paths).select("root", "side", "node", path_text(bits, length).alias("path"), (length - 1).alias("steps"))
 
 
 def common_ancestors(paths: DataFrame, bounded: DataFrame, dogs: DataFrame) -> DataFrame:
     """Animals on both sides of a root, with name and generation."""
     names = dogs.select(F.col("id").alias("node"), "registered_name")
-    return _ancestor_pairs(paths).select("root", "node").join(bounded, ["root", "node"]).join(names, "node")
+    return _shared(paths).select("root", "node").join(bounded, ["root", "node"]).join(names, "node")
 
 
 def contributions(paths: DataFrame, dogs: DataFrame) -> DataFrame:
@@ -288,11 +296,11 @@ def contributions(paths: DataFrame, dogs: DataFrame) -> DataFrame:
     facts = dogs.select(
         F.col("id").alias("node"), F.col("registered_name").alias("ancestor_name"), F.coalesce("coi", F.lit(0.0)).alias("ancestor_coi")
     )
-    n1, n2 = key_length(F.col("sire_key")) - 1, key_length(F.col("dam_key")) - 1
+    n1, n2 = key_length(F.col("s_low")) - 1, key_length(F.col("d_low")) - 1
     share = F.pow(F.lit(0.5), (n1 + n2 + 1).cast("double")) * (1 + F.col("ancestor_coi"))
-    return _ancestor_pairs(paths).join(facts, "node").select(
+    return _shared(paths).join(facts, "node").select(
         "root", "node", "ancestor_name", n1.alias("generations_to_sire"), n2.alias("generations_to_dam"),
-        "ancestor_coi", share.alias("contribution"), "sire_key", "dam_key",
+        "ancestor_coi", share.alias("contribution"), "s_low", "d_low",
     )
 
 
@@ -321,20 +329,20 @@ def inbreeding_details(paths: DataFrame, dogs: DataFrame) -> DataFrame:
     """
     rows = contributions(paths, dogs)
     tails = rows.select("root", "node", stack_rows(
-        ["kind", "full_key"], (F.lit("sire_path"), F.col("sire_key")), (F.lit("dam_path"), F.col("dam_key")),
+        ["kind", "full_key"], (F.lit("sire_path"), F.col("s_low")), (F.lit("dam_path"), F.col("d_low")),
     ))
     length = key_length(F.col("full_key"))
     prefixes = tails.select("root", "node", "kind", length.alias("length"), key_bits(F.col("full_key")).alias("bits"),
                             F.explode(F.sequence(F.lit(1), length)).alias("step"))
     cut = F.call_function("shiftright", F.col("bits"), (F.col("length") - F.col("step")).cast("int"))
     wanted = prefixes.select("root", "node", "kind", "step", path_key(cut, F.col("step")).alias("low"))
-    stops = paths.select("root", "low", F.col("node").alias("stop"))
+    stops = _long_sides(paths).select("root", "low", F.col("node").alias("stop"))
     lists = wanted.join(stops, ["root", "low"]).groupBy("root", "node").agg(*[
         F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("step", "stop")))).alias(kind)
         for kind in ("sire_path", "dam_path")
     ])
     ids = [F.transform(kind, lambda s: s["stop"]).alias(kind) for kind in ("sire_path", "dam_path")]
-    return rows.drop("sire_key", "dam_key").join(lists.select("root", "node", *ids), ["root", "node"])
+    return rows.drop("s_low", "d_low").join(lists.select("root", "node", *ids), ["root", "node"])
 
 
 def inbreeding_batch(dogs: DataFrame, ids: DataFrame, generations: int = 10) -> DataFrame:

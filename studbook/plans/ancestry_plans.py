@@ -34,7 +34,7 @@ select e.child as root, e.letter as side, e.parent as node, e.letter as path fro
 union all select r.root, r.side, e.parent, concat(r.path, e.letter) from reach r join edge e on e.child = r.node
   join member m on m.root = r.root and m.node = e.parent""",
         "first_path": "select root, side, node, min(translate(path, 'SD', '01')) as code from reach group by root, side, node",
-        "both": """
+        "shared_anc": """
 select s.root, s.node, length(s.code) - 1 as n1, length(d.code) - 1 as n2, s.code as sire_code, d.code as dam_code
 from first_path s join first_path d on s.root = d.root and s.node = d.node and s.side = 'S' and d.side = 'D'""",
     }
@@ -113,7 +113,7 @@ def lineage_first_path(t):
 
 
 @query("common_ancestors", """
-select b.root, b.node, v.gen, r.registered_name from both b join registry r on r.id = b.node join (
+select b.root, b.node, v.gen, r.registered_name from shared_anc b join registry r on r.id = b.node join (
   select root, node, cast(length(max(translate(path, 'SD', '01'))) as int) as gen from walk group by root, node) v on v.root = b.root and v.node = b.node""",
        reach(GENERATIONS), recursive=True)
 def common_ancestors(t):
@@ -128,13 +128,13 @@ def set_intersect_ancestors(t):
     return closure.filter("side = 'sire'").select("root", "node").intersect(closure.filter("side = 'dam'").select("root", "node"))
 
 
-SHARES = "select b.root, b.node, b.n1, b.n2, b.sire_code, b.dam_code, coalesce(r.coi, 0) as fa, r.registered_name as ancestor_name, pow(0.5, b.n1 + b.n2 + 1) * (1 + coalesce(r.coi, 0)) as contribution from both b join registry_ext r on r.id = b.node"
-TOTALS = f"select r.id as root, round(coalesce(sum(contribution), 0), 6) as coi, count(contribution) as common_ancestors from registry r left join ({SHARES}) s on s.root = r.id group by r.id"
+SHARES = "select b.root, b.node, b.n1, b.n2, b.sire_code, b.dam_code, coalesce(r.coi, 0) as fa, r.registered_name as ancestor_name, pow(0.5, b.n1 + b.n2 + 1) * (1 + coalesce(r.coi, 0)) as contribution from shared_anc b join registry_ext r on r.id = b.node"
+TOTALS = f"select r.id as root, round(coalesce(sum(contribution), 0), 12) as coi, count(contribution) as common_ancestors from registry r left join ({SHARES}) s on s.root = r.id group by r.id"
 
 
 @query("inbreeding", TOTALS, reach(GENERATIONS), recursive=True)
 def inbreeding(t):
-    return anc.inbreeding(t("registry_ext"), GENERATIONS).withColumn("coi", F.round("coi", 6))
+    return anc.inbreeding(t("registry_ext"), GENERATIONS).withColumn("coi", F.round("coi", 12))
 
 
 @query("inbreeding_details", f"""
@@ -159,17 +159,17 @@ select q.root, x.coi, x.common_ancestors, x.root is not null as success from (
        reach(4), recursive=True)
 def inbreeding_batch(t):
     ids = t.sql("select rec_id as id from incoming union select rec_id + 1000000000 from incoming where rec_id % 2 = 0")
-    return anc.inbreeding_batch(t("registry_ext"), ids, 4).withColumn("coi", F.round("coi", 6))
+    return anc.inbreeding_batch(t("registry_ext"), ids, 4).withColumn("coi", F.round("coi", 12))
 
 
 @query("inbreeding_writeback", f"""
-select r.id, round(coalesce(x.coi, r.coi), 6) as coi, case when x.root is not null then date '2026-01-01' end as coi_updated_on
+select r.id, round(coalesce(x.coi, r.coi), 12) as coi, case when x.root is not null then date '2026-01-01' end as coi_updated_on
 from registry_ext r left join (select * from ({TOTALS}) z where z.root in (select rec_id from incoming)) x on x.root = r.id""", reach(4), recursive=True)
 def inbreeding_writeback(t):
     dogs = t("registry_ext")
     values = anc.inbreeding(dogs, 4, t("incoming").select(F.col("rec_id").alias("id")))
     new = anc.inbreeding_writeback(dogs, values, F.to_date(F.lit("2026-01-01")))
-    return new.select("id", F.round("coi", 6).alias("coi"), "coi_updated_on")
+    return new.select("id", F.round("coi", 12).alias("coi"), "coi_updated_on")
 
 
 @query("inbreeding_read", """

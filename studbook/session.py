@@ -50,6 +50,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the plan with a reliable checkpoint, so a lost executor never replays earlier levels."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows below the shared folder and go on from the written table.
+
+    A lost executor then replays only the rounds after the write, and later joins see the true size
+    when they choose between broadcasting and shuffling.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
