@@ -33,7 +33,7 @@ def parse_datetime_listing(t):
 
 
 RU_MONTH = " ".join(f"when '{m}' then {i}" for i, m in enumerate(d.RUSSIAN_MONTHS, 1))
-RU_TEXT = r"regexp_extract(html, 'Дата рождения:</div><div class=\"textDescription\">([^<]*)<', 1)".replace('\\"', '"')
+RU_TEXT = 'regexp_extract(html, \'Дата рождения:</div><div class="textDescription">([^<]*)<\', 1)'
 
 
 @query("parse_date_ru", f"""
@@ -187,12 +187,14 @@ def photo_medium_size(t):
     return t("registry").select("id", tx.photo_medium_size(F.col("photo_url")).alias("medium"))
 
 
+RU_NAME = " ".join(f"when {i} then '{m}'" for i, m in enumerate(d.RUSSIAN_MONTHS, 1))
+
+
 @query("format_date_long", f"""
-select id, coalesce(concat(nullif(cast(day(date_of_death) as string), ''), ' ', {"case month(date_of_death) " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(d.RUSSIAN_MONTHS, 1)) + " end"},
-  ' ', cast(year(date_of_death) as string), ' г.'), 'Unknown') as raw_text, case when date_of_death is null then 'Unknown' end as missing from registry_ext""".replace("select id, coalesce(concat(", "select id, case when date_of_death is null then 'Unknown' else concat(").replace(" г.'), 'Unknown') as raw_text", " г.') end as shown"))
+select id, case when date_of_death is null then 'Unknown' else concat(cast(day(date_of_death) as string), ' ', case month(date_of_death) {RU_NAME} end,
+  ' ', cast(year(date_of_death) as string), ' г.') end as shown from registry_ext""")
 def format_date_long(t):
-    shown = d.format_date_long(F.col("date_of_death"))
-    return t("registry_ext").select("id", shown.alias("shown"), F.when(F.col("date_of_death").isNull(), "Unknown").alias("missing"))
+    return t("registry_ext").select("id", d.format_date_long(F.col("date_of_death")).alias("shown"))
 
 
 @query("color_text", """
