@@ -12,10 +12,11 @@ ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;"
 
 def node_text(c: Column) -> Column:
     """Text of a fragment, each piece between tags stripped."""
-    text = F.regexp_replace(c, r"(?U)\s*<[^>]*>\s*", "")
+    text = F.when(c.contains("<"), F.regexp_replace(c, r"(?U)\s*<[^>]*>\s*", "")).otherwise(c)
+    decoded = text
     for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return strip(text)
+        decoded = F.replace(decoded, F.lit(entity), F.lit(character))
+    return strip(F.when(text.contains("&"), decoded).otherwise(text))
 
 
 def all_groups(c: Column, pattern: str, group: int = 1) -> Column:

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
 from .conflicts import merge_fill_missing
 from .relations import join_medical_search
 
@@ -106,6 +107,7 @@ def upsert_medical(table: DataFrame, batch: DataFrame, position: str = "position
 
 def upsert_registry(registry: DataFrame, records: DataFrame, matches: DataFrame) -> DataFrame:
     """Matched records fill what the registry lacks, all others become new animals."""
+    matches = settle(matches)
     merged = merge_fill_missing(registry, records, matches)
     fresh = records.join(matches.filter("matched_id is null").select("rec_id"), "rec_id", "left_semi")
     one = fresh.groupBy("uuid").agg(F.min_by(F.struct(*[c for c in fresh.columns if c != "uuid"]), "rec_id").alias("r")).select("uuid", "r.*")

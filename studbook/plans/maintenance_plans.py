@@ -194,7 +194,7 @@ select r.id, r.uuid, {fill_sql('registered_name')}, {fill_sql('weight', True)},
 union all select (select max(id) from registry_named) + row_number() over (order by md5(uuid)), uuid, registered_name, weight, color from incoming
 where rec_id in (select rec_id from matched where matched_id is null)""", CASCADE)
 def upsert_registry(t):
-    registry, records = t("registry_named"), t("incoming")
+    registry, records = t.stored("registry_named"), t.stored("incoming")
     return up.upsert_registry(registry, records, mat.match_cascade(records, registry)).select("id", "uuid", "registered_name", "weight", "color")
 
 

@@ -70,12 +70,12 @@ def match_birth_parents(t):
 
 @query("match_fuzzy", f"select rec_id, matched_id, round(score, 9) as score from ({FUZZY}) m")
 def match_fuzzy(t):
-    return mat.match_fuzzy(t("incoming"), t("registry_named")).withColumn("score", F.round("score", 9))
+    return mat.match_fuzzy(t.stored("incoming"), t.stored("registry_named")).withColumn("score", F.round("score", 9))
 
 
 @query("match_cascade", "select rec_id, matched_id, round(score, 9) as score, method from matched", CASCADE)
 def match_cascade(t):
-    return mat.match_cascade(t("incoming"), t("registry_named")).withColumn("score", F.round("score", 9))
+    return mat.match_cascade(t.stored("incoming"), t.stored("registry_named")).withColumn("score", F.round("score", 9))
 
 
 BEST = f"select id, target, candidate, position, {similarity_sql('lower(trim(target))', 'lower(trim(candidate))')} as score from name_candidates"
@@ -112,8 +112,8 @@ where r.{f} is not null and i.{f} is not null and cast(r.{f} as string) <> '' an
 
 
 def _found(t):
-    matches = mat.match_cascade(t("incoming"), t("registry_named"))
-    return con.detect_conflicts(t("registry_named"), t("incoming"), matches)
+    matches = mat.match_cascade(t.stored("incoming"), t.stored("registry_named"))
+    return con.detect_conflicts(t.stored("registry_named"), t.stored("incoming"), matches)
 
 
 @query("detect_conflicts", "select * from found", FOUND)
@@ -132,8 +132,8 @@ def fill_sql(field: str, number: bool = False) -> str:
 @query("merge_fill_missing", f"""
 select r.id, {fill_sql('registered_name')}, {fill_sql('weight', True)}, {fill_sql('color')}, {fill_sql('sire_name')}, {fill_sql('dam_name')} from registry_named r""", CASCADE)
 def merge_fill_missing(t):
-    matches = mat.match_cascade(t("incoming"), t("registry_named"))
-    merged = con.merge_fill_missing(t("registry_named"), t("incoming"), matches)
+    matches = mat.match_cascade(t.stored("incoming"), t.stored("registry_named"))
+    merged = con.merge_fill_missing(t.stored("registry_named"), t.stored("incoming"), matches)
     return merged.select("id", "registered_name", "weight", "color", "sire_name", "dam_name")
 
 

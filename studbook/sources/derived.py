@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import settle
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -297,6 +299,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -311,5 +314,11 @@ class Tables:
         rest = statement[len("with "):] if statement.startswith("with ") else None
         return self.spark.sql(f"{head}, {rest}" if rest else f"{head} {statement}")
 
+    def stored(self, name: str) -> DataFrame:
+        """The view written once below the shared folder, for jobs that read it many times."""
+        if name not in self._stored:
+            self._stored[name] = settle(self(name))
+        return self._stored[name]
+
     def __call__(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
