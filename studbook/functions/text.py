@@ -75,7 +75,7 @@ def next_page_url(c: Column, page_size: int) -> Column:
     kept = F.filter(pairs, lambda p, i: ~p.startswith("start=") | (i + 1 == first_start))
     placed = F.transform(kept, lambda p: F.when(p.startswith("start="), moved).otherwise(p))
     full = F.when(F.size(starts) > 0, placed).otherwise(F.concat(kept, F.array(moved)))
-    return F.concat(base, F.lit("?"), F.array_join(full, "&"))
+    return F.when(moved.isNotNull(), F.concat(base, F.lit("?"), F.array_join(full, "&")))
 
 
 def surrogate_uuid(c: Column, prefix: str = "") -> Column:

@@ -232,7 +232,8 @@ def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = No
     Result: (root, node, s_low, d_low), path keys that are null where that side does not reach the node.
     Only animals within generations - 1 edges of the root take part, but a path among them may be longer
     than that. Such longer paths are grown round by round, and only where they reach a node on a new side
-    or beat its path; on acyclic data a beaten path never leads to a first path, so the rounds die out.
+    or beat its path; a beaten path never leads to a first path, so the rounds die out. Where wrong data
+    forms a cycle, a path that comes round again starts with the path it would have to beat and ends there.
 
     A round is one join with the edges and one grouping by (root, node), which answers both questions:
     is the node a member, and is the new key smaller.
@@ -259,7 +260,7 @@ def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = No
         if frontier.isEmpty():
             return known.groupBy("root", "node").agg(F.min("s_low").alias("s_low"), F.min("d_low").alias("d_low"))
         known = known.unionByName(frontier)
-    raise RuntimeError(f"paths still grow after {max_rounds} rounds: the parent graph has a cycle")
+    raise RuntimeError(f"first paths still grow after {max_rounds} rounds")
 
 
 def _long_sides(paths: DataFrame) -> DataFrame:
