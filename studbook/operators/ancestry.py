@@ -168,10 +168,11 @@ def _collapse(paths: DataFrame, depth: int) -> DataFrame:
 
 
 def _longer(key: Column) -> Column:
-    """The key with the joined edge's letter appended, null for no path."""
-    bits = F.shiftleft(key_bits(key), 1).bitwiseOR(F.col("letter"))
+    """The key with the joined edge's letter appended: the length grows by one and the letter takes the next bit."""
     too_long = F.raise_error(F.lit("a path among bounded ancestors is longer than 57 edges"))
-    return F.when(key_length(key) < MAX_PATH, path_key(bits, key_length(key) + 1)).when(key.isNotNull(), too_long.cast("bigint"))
+    place = (F.lit(MAX_PATH - 1 + LENGTH_BITS) - key_length(key)).cast("int")
+    grown = (key + 1).bitwiseOR(F.call_function("shiftleft", F.col("letter"), place))
+    return F.when(key_length(key) < MAX_PATH, grown).when(key.isNotNull(), too_long.cast("bigint"))
 
 
 def _climb(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,8 +236,8 @@ def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = No
     or beat its path; a beaten path never leads to a first path, so the rounds die out. Where wrong data
     forms a cycle, a path that comes round again starts with the path it would have to beat and ends there.
 
-    A round is one join with the edges and one grouping by (root, node), which answers both questions:
-    is the node a member, and is the new key smaller.
+    A round is one join with the edges and one grouping by (root, node), which answers both questions: is
+    the node a member, and is the new key smaller. Only the changed rows are written.
     """
     _check_generations(generations)
     edges = settle(parent_edges(dogs))
@@ -246,23 +247,28 @@ def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = No
     frontier = base.filter("s_end is not null or d_end is not null").select(
         "root", "node", F.col("s_end").alias("s_low"), F.col("d_end").alias("d_low"))
     for _ in range(max_rounds):
-        none = F.lit(None).cast("bigint")
-        grown = _climb(frontier, edges, ["s_low", "d_low"]).select(
-            "root", "node", none.alias("s_low"), none.alias("d_low"), F.col("s_low").alias("s_new"), F.col("d_low").alias("d_new"))
-        held = known.select("*", none.alias("s_new"), none.alias("d_new"))
-        met = held.unionByName(grown).groupBy("root", "node").agg(*[F.min(c).alias(c) for c in ("s_low", "d_low", "s_new", "d_new")])
-        changed = [
-            F.when(F.coalesce(F.col(f"{k}_new") < F.col(f"{k}_low"), F.col(f"{k}_low").isNull()), F.col(f"{k}_new")).alias(f"{k}_low")
-            for k in SIDES
-        ]
-        members = met.filter("(s_low is not null or d_low is not null) and (s_new is not null or d_new is not null)")
-        frontier = settle(members.select("root", "node", *changed).filter("s_low is not null or d_low is not null"))
+        frontier = settle(_one_longer(known, frontier, edges))
         if frontier.isEmpty():
             return known.groupBy("root", "node").agg(F.min("s_low").alias("s_low"), F.min("d_low").alias("d_low"))
         known = known.unionByName(frontier)
     raise RuntimeError(f"first paths still grow after {max_rounds} rounds")
 
 
+def _one_longer(known: DataFrame, frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of `known` that a frontier path reaches on a new side or by a smaller key, with those keys."""
+    none = F.lit(None).cast("bigint")
+    grown = _climb(frontier, edges, ["s_low", "d_low"]).select(
+        "root", "node", none.alias("s_low"), none.alias("d_low"), F.col("s_low").alias("s_new"), F.col("d_low").alias("d_new"))
+    held = known.select("*", none.alias("s_new"), none.alias("d_new"))
+    met = held.unionByName(grown).groupBy("root", "node").agg(*[F.min(c).alias(c) for c in ("s_low", "d_low", "s_new", "d_new")])
+    changed = [
+        F.when(F.coalesce(F.col(f"{k}_new") < F.col(f"{k}_low"), F.col(f"{k}_low").isNull()), F.col(f"{k}_new")).alias(f"{k}_low")
+        for k in SIDES
+    ]
+    members = met.filter("(s_low is not null or d_low is not null) and (s_new is not null or d_new is not null)")
+    return members.select("root", "node", *changed).filter("s_low is not null or d_low is not null")
+
+
 def _long_sides(paths: DataFrame) -> DataFrame:
     """One row per (root, side, node) with its key."""
     long = paths.select("root", "node", stack_rows(

@@ -151,4 +151,7 @@ def entity_profile(
                 "birth_litter", "birth_litter_id", "date_of_birth"),
     ]
     found = reduce(DataFrame.unionByName, rest, unioned)
-    return ids.join(found, "dog_id", "left")
+    # An outer join would shuffle all rows of one animal together; the anti join only moves its id.
+    alone = ids.join(found.select("dog_id").distinct(), "dog_id", "left_anti")
+    nothing = {c: F.lit(None).cast(kind) for c, kind in found.dtypes if c != "dog_id"}
+    return found.unionByName(alone.withColumns(nothing))

@@ -8,7 +8,6 @@ from ..operators import ancestry as anc
 from . import query
 
 GENERATIONS = 5
-# The bounded-set operators run at three generations in the checks of path order, where SQL lists every path.
 
 EDGES = """
 select c.id as child, 'S' as letter, c.sire_id as parent from registry c join registry p on p.id = c.sire_id
@@ -134,7 +133,7 @@ TOTALS = f"select r.id as root, round(coalesce(sum(contribution), 0), 12) as coi
 
 @query("inbreeding", TOTALS, reach(GENERATIONS), recursive=True)
 def inbreeding(t):
-    return anc.inbreeding(t("registry_ext"), GENERATIONS).withColumn("coi", F.round("coi", 12))
+    return anc.inbreeding(t.stored("registry_ext"), GENERATIONS).withColumn("coi", F.round("coi", 12))
 
 
 @query("inbreeding_details", f"""
@@ -143,7 +142,7 @@ select root, node, ancestor_name, cast(n1 as int) as generations_to_sire, cast(n
   (select string_agg(cast(p.node as string), '>' order by length(p.code)) from first_path p where p.root = s.root and starts_with(s.dam_code, p.code)) as dam_path
 from ({SHARES}) s""", reach(4), recursive=True)
 def inbreeding_details(t):
-    dogs = t("registry_ext")
+    dogs = t.stored("registry_ext")
     rows = anc.inbreeding_details(anc.side_paths(dogs, 4), dogs)
     return rows.select(
         "root", "node", "ancestor_name", "generations_to_sire", "generations_to_dam", "ancestor_coi",
@@ -159,14 +158,14 @@ select q.root, x.coi, x.common_ancestors, x.root is not null as success from (
        reach(4), recursive=True)
 def inbreeding_batch(t):
     ids = t.sql("select rec_id as id from incoming union select rec_id + 1000000000 from incoming where rec_id % 2 = 0")
-    return anc.inbreeding_batch(t("registry_ext"), ids, 4).withColumn("coi", F.round("coi", 12))
+    return anc.inbreeding_batch(t.stored("registry_ext"), ids, 4).withColumn("coi", F.round("coi", 12))
 
 
 @query("inbreeding_writeback", f"""
 select r.id, round(coalesce(x.coi, r.coi), 12) as coi, case when x.root is not null then date '2026-01-01' end as coi_updated_on
 from registry_ext r left join (select * from ({TOTALS}) z where z.root in (select rec_id from incoming)) x on x.root = r.id""", reach(4), recursive=True)
 def inbreeding_writeback(t):
-    dogs = t("registry_ext")
+    dogs = t.stored("registry_ext")
     values = anc.inbreeding(dogs, 4, t("incoming").select(F.col("rec_id").alias("id")))
     new = anc.inbreeding_writeback(dogs, values, F.to_date(F.lit("2026-01-01")))
     return new.select("id", F.round("coi", 12).alias("coi"), "coi_updated_on")
