@@ -136,6 +136,19 @@ def lineage_nodes(dogs: DataFrame, generations: int = 5, ids: DataFrame | None =
     return with_roots(paths, roots).groupBy("root", "node").agg(F.min("gen").alias("gen"))
 
 
+def lineage_members(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = None) -> DataFrame:
+    """Distinct animals over all trees, as `id`. Each level keeps every animal once, whatever root it came from."""
+    if ids is None:
+        return dogs.select("id")
+    level = dogs.select("id").join(ids.select("id"), "id", "left_semi")
+    up = parent_edges(dogs).select(F.col("child").alias("id"), "parent")
+    levels = [level]
+    for _ in range(generations - 1):
+        level = level.alias("l").join(up.alias("u"), "id").select(F.col("parent").alias("id")).distinct()
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).distinct()
+
+
 def lineage_graph(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes with a label and edges among the collected nodes, per root, for drawing."""
     nodes = lineage_nodes(dogs, generations, ids)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ancestry as anc
+from ..operators import ancestry as anc, relations as rel
+from ..session import settle
 from . import query
 
 GENERATIONS = 5
@@ -63,14 +64,12 @@ select x.dog_id, x.relation, x.related_id, x.label from (
   union all select l.dog_id, 'breeder', o.id, o.name from dog_breeder l join breeder o on o.id = l.breeder_id
   union all select dam_id, 'litter_as_dam', id, cast(date_of_birth as string) from litter
   union all select sire_id, 'litter_as_sire', id, cast(date_of_birth as string) from litter
-) x where x.dog_id in (select distinct node from walk)""", walk(GENERATIONS), recursive=True)
+) x where x.dog_id in (select distinct node from walk where root in (select rec_id from incoming))""", walk(GENERATIONS), recursive=True)
 def lineage_tree_detailed(t):
     """Relations of every animal that appears in any tree, once per animal; trees and relations join on the animal."""
-    from ..operators import relations as rel
-
-    dogs = t("registry")
-    members = anc.lineage_nodes(dogs, GENERATIONS).select(F.col("node").alias("id")).distinct()
-    animals = dogs.join(members, "id", "left_semi")
+    dogs = t.stored("registry")
+    members = anc.lineage_members(dogs, GENERATIONS, t("incoming").select(F.col("rec_id").alias("id")))
+    animals = settle(dogs.join(members, "id", "left_semi"))
     profile = rel.entity_profile(
         animals, dogs, rel.join_people(animals, t("dog_owner"), t("owner"), "owner_id"),
         rel.join_people(animals, t("dog_breeder"), t("breeder"), "breeder_id"),
