@@ -145,3 +145,28 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     jumps = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) if total else np.zeros(0, np.int64)
     return jumps + np.arange(total)
+
+
+def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of each run of `size` words; a shorter text that has words is one shingle of all its words."""
+    hashes, inside = grams(found, size)
+    counts = np.diff(found.first)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    factors = constants(size, 2)
+    for text in short:
+        at = found.first[text]
+        own = found.hashes[at: at + counts[text]]
+        hashes[at] = mix((own * factors[: len(own)]).sum(keepdims=True))[0]
+        inside[at] = True
+    return hashes[inside], found.text_of()[inside]
+
+
+def counted(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order within each text, their texts, which are the first of their value, and the place among equal ones."""
+    order = np.lexsort((hashes, texts))
+    hashes, texts = hashes[order], texts[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])
+    heads = np.flatnonzero(fresh)
+    place = np.arange(len(hashes)) - np.repeat(heads, np.diff(np.append(heads, len(hashes))))
+    return hashes, texts, fresh, place

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import lengths, packing, secrets, sketch, toxicity, warc, winnow
+from . import bagminhash, lengths, packing, secrets, sketch, toxicity, warc, winnow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -65,5 +65,9 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.edited_likeness(_table(spark, folder, "documents"))
 
 
-QUERIES = {run.__name__: run for run in [op1_toxicity, op3_warc_revisits, op4_token_counts, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints]}
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+QUERIES = {run.__name__: run for run in [op1_toxicity, op3_warc_revisits, op4_token_counts, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates]}
 ORACLES: dict[str, str] = {}

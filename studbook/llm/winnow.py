@@ -113,19 +113,41 @@ def _nested(counts: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
 
 
+def _blocks(items: DataFrame, item: str, item_text: str, width: int, gram: int):
+    """An index for each block of items, each sent to the executors."""
+    spark = items.sparkSession
+    items = items.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    count = max(1, -(-size // BLOCK_BYTES))
+    for block in range(count):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == block) if count > 1 else items
+        rows = sorted({(row["item"], row["text"]) for row in rows.collect()})
+        yield spark.sparkContext.broadcast(build_index([r[0] for r in rows], [r[1] for r in rows], width, gram))
+
+
+def without_hits(docs: DataFrame, items: DataFrame, width: int = 10, gram: int = GRAM, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, in whose text no window of an item occurs."""
+    place = docs.columns.index(text)
+    for shared in _blocks(items, item, item_text, width, gram):
+        docs = docs.mapInArrow(_keeper(shared, place, width, gram), docs.schema)
+    return docs
+
+
+def _keeper(shared, place: int, width: int, gram: int):
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                clean = np.ones(batch.num_rows, bool)
+                clean[find_spans(batch.column(place), shared.value, width, gram)[1]] = False
+                yield batch.filter(pa.array(clean))
+    return keep
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, gram: int = GRAM, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, the maximal spans of hit words (positions, ends inclusive) and the items found, sorted as strings."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    items = items.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    parts = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
-        rows = sorted(set((row["item"], row["text"]) for row in rows))
-        parts.append(_one_block(docs, spark.sparkContext.broadcast(build_index([r[0] for r in rows], [r[1] for r in rows], width, gram)), width, gram))
-    if blocks == 1:
+    parts = [_one_block(docs, shared, width, gram) for shared in _blocks(items, item, item_text, width, gram)]
+    if len(parts) == 1:
         return parts[0].drop("text_key")
     everything = parts[0]
     for part in parts[1:]:
