@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bagminhash, lengths, packing, secrets, sketch, toxicity, warc, winnow
+from . import bagminhash, lengths, packing, secrets, sketch, suffix, toxicity, warc, winnow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -39,6 +39,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.digest_columns(*suffix.without_repeats(_table(spark, folder, "documents")))
+
+
 def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round(_table(spark, folder, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -69,5 +73,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {run.__name__: run for run in [op1_toxicity, op3_warc_revisits, op4_token_counts, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates]}
+QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates]}
 ORACLES: dict[str, str] = {}
