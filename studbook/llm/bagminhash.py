@@ -7,10 +7,11 @@ counts, so two texts agree in it with the probability of their weighted Jaccard
 maxima. Points come in order of time, so a process is left once it can't undercut the text's latest component; heights thin
 the one doubling that a weight ends in, and the doublings below it count whole.
 
-Signatures are cut into bands. Texts that share a band are compared with its least text first; linked texts form classes,
-and only pairs of different classes are compared after that: all of them where few are left, else with the band's greatest
-text and then within finer bands (pairs of bands), where texts that merely share a passage part. Every link is verified on
-the whole multisets. Copies of a text are one node throughout.
+Signatures are cut into bands. Texts that share a band are compared with its most central
+text first, the one that shares most bands with others: in a group of copies made from one text nearly all are linked with
+it. Linked texts form classes. Texts of bands that still hold several classes are compared across classes wherever they
+share one of their rarest shingles, which no pair that is near enough can miss and texts around a common passage rarely
+do. Every link is verified on the whole multisets. Copies of a text are one node throughout.
 
 Null text counts as empty. Texts without words are near copies only of equal texts. Rows without an id belong to the class
 of their text; a class whose rows have no id at all has a null class id.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import settle
 from .columns import constants, counted, mix, shingles, slices, words
@@ -29,8 +30,6 @@ from .graph import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-FEW = 40
-FINEST = 3
 _GOLDEN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -107,52 +106,57 @@ def verified(pairs: DataFrame, sizes: DataFrame, members: DataFrame, similarity:
     return pairs.where(shared >= similarity * (F.size("members_a") + F.size("members_b") - shared)).select("a", "b")
 
 
-def open_buckets(buckets: DataFrame, roots: DataFrame, done: list[str]) -> DataFrame:
-    """(key, node, root, rows): members of the buckets that still hold several classes, without the texts compared with all."""
-    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    for pivot in done:
-        labelled = labelled.where(F.col("node") != F.col(pivot))
-    several = settle(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key", "rows"))
-    return labelled.join(several, "key")
+def _against_center(shared: DataFrame, central: DataFrame) -> DataFrame:
+    """Pairs of each band's texts with the most central of them."""
+    rows = settle(shared.join(central, "node").select("key", "node", "central"))
+    centers = settle(rows.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("central"), "node")).alias("center")).select("key", F.col("center.node").alias("center")))
+    return rows.join(centers, "key").where(F.col("node") != F.col("center")).select(F.col("node").alias("a"), F.col("center").alias("b"))
 
 
-def _pivots(rows: DataFrame) -> DataFrame:
-    """Rows (key, node) of the keys with several nodes, with the least and the greatest of them."""
-    ends = settle(rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest"))
-    return settle(rows.join(ends, "key"))
+def open_nodes(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the texts in bands that hold several classes."""
+    labelled = settle(shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    several = settle(labelled.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key"))
+    return settle(labelled.join(several, "key").select("node", "root").distinct())
+
+
+def rare_pairs(nodes: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes that may overlap enough: all that do are among them.
+
+    Two multisets of which each holds the share `similarity` of the other have a member in common among the rarest of each,
+    as many as it may lack and one more. What only one text has is ranked first and joins with nothing.
+    """
+    listed = settle(nodes.join(members, "node").select("node", "root", F.size("members").alias("items"), F.explode("members").alias("member")))
+    counts = settle(listed.groupBy("member").agg(F.count(F.lit(1)).alias("texts")))
+    rarest = Window.partitionBy("node").orderBy("texts", "member")
+    ranked = listed.join(counts, "member").withColumn("rank", F.row_number().over(rarest))
+    some = settle(ranked.where((F.col("rank") <= F.col("items") - F.ceil(F.col("items") * similarity - 1e-9) + 1) & (F.col("texts") > 1)).select("member", "node", "root", "items", "rank"))
+    x, y = (some.select("member", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "items", "rank"))) for side in "ab")
+    # What two sizes must have in common at least bounds how far down either list their first common member stands.
+    common = F.ceil((F.col("items_a") + F.col("items_b")) * (similarity / (1 + similarity)) - 1e-9)
+    near = (F.col("rank_a") <= F.col("items_a") - common + 1) & (F.col("rank_b") <= F.col("items_b") - common + 1)
+    return x.join(y, "member").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Signed rows (doc_id, node) and (node, root) for the nodes that are linked; `docs` has doc_id, node and text."""
     rows = settle(signed(docs))
     nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("lead"), F.max("items").alias("items"), F.first("bands").alias("bands")))
-    buckets = _pivots(nodes.select("node", F.explode("bands").alias("key")))
-    wanted = settle(buckets.select("node").distinct().join(nodes.select("node", "lead"), "node"))
+    named = nodes.select("node", F.explode("bands").alias("key"))
+    shared = settle(named.join(settle(named.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")), "key"))
+    # A text that shares many large bands lies in the middle of its near copies and is linked with most of them.
+    central = settle(shared.groupBy("node").agg(F.sum("rows").alias("central")))
+    wanted = settle(central.join(nodes.select("node", "lead"), "node").select("node", "lead"))
     # One row of each wanted text: its copies are told apart by the id, so that they don't meet in one task.
     texts = docs.join(wanted.hint("shuffle_hash"), (docs["node"] == wanted["node"]) & docs["doc_id"].eqNullSafe(wanted["lead"])).select(docs["node"], docs["text"])
     members = settle(multisets(texts))
     sizes = nodes.select("node", "items")
-    links = settle(verified(buckets.select(F.col("node").alias("a"), F.col("least").alias("b")), sizes, members, similarity))
-    roots = settle(components(links))
-    left, done, fineness = buckets, ["least"], 1
-    while True:
-        left = settle(open_buckets(left, roots, done))
-        if left.isEmpty():
-            return rows, roots
-        last = fineness == FINEST
-        small = left if last else left.where(F.col("rows") <= FEW)
-        pairs = small.alias("x").join(small.alias("y"), "key").where("x.node < y.node and x.root != y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        large = None if last else left.where(F.col("rows") > FEW)
-        if large is not None:
-            pairs = pairs.unionByName(large.where(F.col("node") != F.col("greatest")).select(F.col("node").alias("a"), F.col("greatest").alias("b")))
-        links = settle(links.unionByName(verified(pairs, sizes, members, similarity)))
-        roots = settle(components(links))
-        if last:
-            return rows, roots
-        # What is left of the large buckets goes on in pairs of bands.
-        rest = open_buckets(large.drop("root", "rows"), roots, ["greatest"]).select("key", "node").join(nodes.select("node", "bands"), "node")
-        finer = rest.select("node", F.explode(F.transform("bands", lambda band: F.when(band != F.col("key"), F.xxhash64(F.least("key", band), F.greatest("key", band))))).alias("key")).where("key is not null")
-        left, done, fineness = _pivots(finer), [], fineness + 1
+    roots = components(verified(_against_center(shared, central), sizes, members, similarity))
+    left = open_nodes(shared, roots)
+    if not left.isEmpty():
+        links = verified(rare_pairs(left, members, similarity), sizes, members, similarity)
+        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return rows, roots
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = seen
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return settle(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))

@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from llm_small import SMALL, read
 from studbook.llm import bagminhash, queries
@@ -52,9 +51,7 @@ def varied(rng, words, changes):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("few", [40, 3])
-def test_classes_equal_brute_force(make_docs, monkeypatch, few):
-    monkeypatch.setattr(bagminhash, "FEW", few)
+def test_classes_equal_brute_force(make_docs):
     rng = random.Random(8)
     docs, key = [], 1000
     for _ in range(6):
