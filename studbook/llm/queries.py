@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bagminhash, lengths, packing, secrets, sketch, suffix, toxicity, warc, winnow
+from . import bagminhash, lengths, packing, passages, secrets, sketch, suffix, toxicity, warc, winnow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -51,6 +51,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.limits(settle(lengths.histogram(lengths.encoded_lengths(_table(spark, folder, "documents"), RANKS, PATTERN))))
 
 
+def op5_near_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.near_passages(_table(spark, folder, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_table(spark, folder, "documents"), RANKS, PATTERN))
 
@@ -73,5 +77,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates]}
+QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op5_near_passages, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates]}
 ORACLES: dict[str, str] = {}
