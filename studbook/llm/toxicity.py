@@ -100,7 +100,7 @@ class Model:
 class _Rows:
     """Sparse 0/1 rows as flat lists."""
 
-    def __init__(self, rows: list[list[int]]):
+    def __init__(self, rows: list[np.ndarray]):
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         self.row = np.repeat(np.arange(len(rows)), sizes)
         self.column = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: str
             yield pa.record_batch({"toxic": pa.array(out["toxic"], pa.int32()), "features": pa.array(out["features"], pa.list_(pa.int32())), "others": pa.array(out["others"], pa.list_(pa.int32()))})
     found = rows.select("text", "toxic").mapInArrow(number, "toxic int, features array<int>, others array<int>").toArrow()
     marks = found.column("toxic").to_pylist()
-    lists, others = found.column("features").to_pylist(), found.column("others").to_pylist()
+    lists, others = _arrays(found.column("features")), _arrays(found.column("others"))
     texts = [i for i, mark in enumerate(marks) if mark is not None]
     pairs = [(lists[i], others[i]) for i, mark in enumerate(marks) if mark is None]
     y = np.array([marks[i] for i in texts], float)
@@ -186,14 +186,23 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: str
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, 40.0 if share == 1 else -40.0)
     keep = _vocabulary([lists[i] for i in texts], y, len(candidates), [place[f] for f in groups])
-    where = {old: new for new, old in enumerate(keep)}
+    where = np.full(len(candidates), -1)
+    where[keep] = np.arange(len(keep))
     def narrow(numbers):
-        return [where[n] for n in numbers if n in where]
+        return where[numbers][where[numbers] >= 0]
     weights, bias = fit_weights([narrow(lists[i]) for i in texts], y, [(narrow(a), narrow(b)) for a, b in pairs], len(keep), penalty)
-    return Model({candidates[old]: float(weights[new]) for old, new in where.items() if abs(weights[new]) > 1e-6}, float(bias))
+    return Model({candidates[old]: float(weights[new]) for new, old in enumerate(keep) if abs(weights[new]) > 1e-6}, float(bias))
 
 
-def _vocabulary(rows: list[list[int]], labels: np.ndarray, size: int, always: list[int]) -> list[int]:
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as slices of one array."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    values, bounds = whole.values.to_numpy(), whole.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _vocabulary(rows: list[np.ndarray], labels: np.ndarray, size: int, always: list[int]) -> list[int]:
     """The features whose share among toxic texts is furthest above that among others, by a two-sample score over 3."""
     data = _Rows(rows)
     n1, n0 = labels.sum(), (1 - labels).sum()
