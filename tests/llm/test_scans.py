@@ -174,7 +174,7 @@ def test_toxicity_on_held_out_rows(spark):
     rows = found.where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     right = sum(r.predicted == r.toxic for r in rows) / len(rows)
     caught = sum(r.predicted for r in rows if r.toxic) / max(1, sum(r.toxic for r in rows))
-    assert right > 0.97 and caught > 0.8
+    assert right > 0.98 and caught > 0.8
 
 
 def test_swapped_groups_score_alike(spark, make_docs):
