@@ -374,7 +374,7 @@ def inbreeding_batch(dogs: DataFrame, ids: DataFrame, generations: int = 10) ->
 
 def inbreeding_writeback(dogs: DataFrame, values: DataFrame, as_of: Column) -> DataFrame:
     """Registry with new coefficients and their date on the computed roots."""
-    new = values.select(F.col("root").alias("id"), F.col("coi").alias("new_coi"))
+    new = values.groupBy(F.col("root").alias("id")).agg(F.max("coi").alias("new_coi"))
     stamped = F.when(F.col("new_coi").isNotNull(), as_of)
     if "coi_updated_on" in dogs.columns:
         stamped = F.coalesce(stamped, F.col("coi_updated_on"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import settle
 
 # Columns searched by free text, and the named sort orders.
 SEARCH_COLUMNS = ["registered_name", "registration_number", "call_name", "sire_name", "dam_name"]
@@ -101,6 +103,20 @@ def _sort_keys(column: str, order: str) -> list[Column]:
     return [first] if column == "id" else [first, F.col("id").asc()]
 
 
+def with_position(ordered: DataFrame) -> DataFrame:
+    """A sorted frame with `position`, counted from 1 over all rows.
+
+    Rows are numbered inside each sorted partition, and each partition starts where those before it end, so the only
+    window without a key is over one row for each partition.
+    """
+    rows = settle(ordered.withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_row", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_row").alias("_first"))
+    starts = sizes.select("_part", "_first", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_start"))
+    placed = rows.join(F.broadcast(starts), "_part")
+    return placed.withColumn("position", F.col("_start") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_first", "_start")
+
+
 def sort_presets(dogs: DataFrame, preset: str) -> DataFrame:
     return sort_dynamic(dogs, *SORT_PRESETS.get(preset, SORT_PRESETS[DEFAULT_PRESET]))
 

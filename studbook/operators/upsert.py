@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.rows import one_per_id
 from ..session import settle
 from .conflicts import merge_fill_missing
 from .relations import join_medical_search
@@ -106,22 +107,30 @@ def upsert_medical(table: DataFrame, batch: DataFrame, position: str = "position
 
 
 def upsert_registry(registry: DataFrame, records: DataFrame, matches: DataFrame) -> DataFrame:
-    """Matched records fill what the registry lacks, all others become new animals."""
+    """Matched records fill what the registry lacks, all others become new animals.
+
+    Of new records with one uuid the lowest rec_id stands; a record without uuid is an animal of its own.
+    """
     matches = settle(matches)
     merged = merge_fill_missing(registry, records, matches)
     fresh = records.join(matches.filter("matched_id is null").select("rec_id"), "rec_id", "left_semi")
-    one = fresh.groupBy("uuid").agg(F.min_by(F.struct(*[c for c in fresh.columns if c != "uuid"]), "rec_id").alias("r")).select("uuid", "r.*")
-    added = assign_ids(one, registry, F.col("uuid"))
+    key = F.coalesce(F.nullif(F.col("uuid"), F.lit("")), F.concat(F.lit("rec "), F.col("rec_id").cast("string")))
+    one = fresh.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*fresh.columns), "rec_id").alias("r")).select("_key", "r.*")
+    added = assign_ids(one, registry, F.col("_key"))
     columns = [F.col(c).cast(kind).alias(c) if c in added.columns else F.lit(None).cast(kind).alias(c) for c, kind in registry.dtypes]
     return merged.unionByName(added.select(*columns))
 
 
-def update_overwrite(registry: DataFrame, records: DataFrame, columns: list[str], set_columns: str | None = None) -> DataFrame:
+def update_overwrite(
+    registry: DataFrame, records: DataFrame, columns: list[str], set_columns: str | None = None, position: str | None = None
+) -> DataFrame:
     """Lay new values over animals by id. `set_columns` names an array column listing which columns the record sets;
-    a set column overwrites even with null. Parents are always replaced."""
+    a set column overwrites even with null. Parents are always replaced. Of several records for one id the one of
+    the highest `position` holds."""
     always = [c for c in ("sire_id", "dam_id") if c in records.columns]
     wanted = list(dict.fromkeys(columns + always))
-    new = records.select(
+    used = dict.fromkeys(["id", *wanted, *(c for c in (set_columns, position) if c)])
+    new = one_per_id(records.select(*used), "id", position).select(
         "id", *[F.col(c).alias(f"_new_{c}") for c in wanted], F.lit(True).alias("_hit"),
         (F.col(set_columns) if set_columns else F.array(*[F.lit(c) for c in wanted])).alias("_set"))
     joined = registry.join(new, "id", "left")
@@ -158,16 +167,20 @@ def set_litter_parent(litters: DataFrame, registry: DataFrame, parent: str = "pa
 
 
 def link_parents(registry: DataFrame, found: DataFrame) -> DataFrame:
-    """Set sire_id and dam_id from (id, sire_id, dam_id) where a parent was found."""
-    new = found.select("id", F.col("sire_id").alias("_sire"), F.col("dam_id").alias("_dam"))
+    """Set sire_id and dam_id from (id, sire_id, dam_id) where a parent was found; of several found the lowest id."""
+    new = found.groupBy("id").agg(F.min("sire_id").alias("_sire"), F.min("dam_id").alias("_dam"))
     joined = registry.join(new, "id", "left")
     return joined.withColumns({"sire_id": F.coalesce("_sire", "sire_id"), "dam_id": F.coalesce("_dam", "dam_id")}).select(*registry.columns)
 
 
-def patch_notes(registry: DataFrame, patches: DataFrame) -> DataFrame:
-    """Overwrite the note columns with provided values; null leaves a note as it is."""
+def patch_notes(registry: DataFrame, patches: DataFrame, position: str | None = None) -> DataFrame:
+    """Overwrite the note columns with provided values; null leaves a note as it is.
+
+    Of several values for one note the one of the highest `position` holds, or the greatest without a position.
+    """
     columns = [c for c in ("notes", "data_correctness_notes") if c in patches.columns]
-    new = patches.select("id", *[F.col(c).alias(f"_new_{c}") for c in columns])
+    order = [position] if position else []
+    new = patches.groupBy("id").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct(*order, c)))[c].alias(f"_new_{c}") for c in columns])
     held = {c: F.col(c) if c in registry.columns else F.lit(None).cast("string") for c in columns}
     return registry.join(new, "id", "left").withColumns({c: F.coalesce(F.col(f"_new_{c}"), held[c]) for c in columns}).drop(*[f"_new_{c}" for c in columns])
 

@@ -30,7 +30,7 @@ ENTITIES = {
     "litter": "select id, date_of_birth, sire_id, dam_id, cast(male_count as int) as litter_male_count from litter",
     "title": "select * from title",
     "medical_record": "select * from medical_record",
-    "mergelog": "select log_id as id, dog_id from merge_log where field = 'color'",
+    "mergelog": "select log_id * 2 + case when field = 'color' then 0 else 1 end as id, dog_id from merge_log",
 }
 
 

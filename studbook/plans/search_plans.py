@@ -108,14 +108,14 @@ def registry_search(t):
 
 
 # Sorted results carry the position of each row, so the order itself is compared.
-@query("sort_dynamic", "select id, call_name from (select * from registry order by call_name asc nulls last, id limit 100 offset 0)")
+@query("sort_dynamic", "select id, call_name, row_number() over (order by call_name asc nulls last, id) as position from registry")
 def sort_dynamic(t):
-    return s.page_offset(s.sort_dynamic(t("registry"), "call_name", "asc"), 1, 100).select("id", "call_name")
+    return s.with_position(s.sort_dynamic(t("registry"), "call_name", "asc")).select("id", "call_name", "position")
 
 
-@query("sort_presets", "select id, date_of_birth from (select * from registry order by date_of_birth desc nulls first, id limit 100)")
+@query("sort_presets", "select id, date_of_birth, row_number() over (order by date_of_birth desc nulls first, id) as position from registry")
 def sort_presets(t):
-    return s.page_offset(s.sort_presets(t("registry"), "birth_date_desc"), 1, 100).select("id", "date_of_birth")
+    return s.with_position(s.sort_presets(t("registry"), "birth_date_desc")).select("id", "date_of_birth", "position")
 
 
 @query("page_offset", "select id, registered_name from (select * from registry order by registered_name asc nulls last, id limit 30 offset 60)")

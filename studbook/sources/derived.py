@@ -49,7 +49,7 @@ select s_suppkey as id, s_name as name, md5(s_name) as uuid, s_suppkey % 2 = 0 a
 """
 
 VIEWS["dog_owner"] = """
-select distinct o_custkey + 1 as dog_id, l_suppkey as owner_id from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1
+select distinct o_custkey + 1 as dog_id, l_suppkey as owner_id from lineitem join orders on l_orderkey = o_orderkey where l_linenumber % 2 = 1
 """
 
 VIEWS["medical_record"] = """
@@ -156,7 +156,7 @@ select s_suppkey as id, concat('Kennel ', s_name) as name, md5(concat('b_', s_na
 """
 
 VIEWS["dog_breeder"] = """
-select distinct o_custkey + 1 as dog_id, l_suppkey as breeder_id from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 2
+select distinct o_custkey + 1 as dog_id, l_suppkey as breeder_id from lineitem join orders on l_orderkey = o_orderkey where l_linenumber % 2 = 0
 """
 
 VIEWS["sibling_link"] = """

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-DEPTH = 5
+from ..functions.rows import stack_rows
+from ..session import settle
 
 
 def listing_feed(raw: DataFrame, column: str = "body") -> DataFrame:
@@ -17,24 +20,22 @@ def listing_feed(raw: DataFrame, column: str = "body") -> DataFrame:
     return raw.select(*kept, F.posexplode(animals).alias("position", "animal"))
 
 
-def nested_ancestor_docs(docs: DataFrame, column: str = "body", depth: int = DEPTH) -> DataFrame:
+def nested_ancestor_docs(docs: DataFrame, column: str = "body", depth: int | None = None) -> DataFrame:
     """Documents with nested `dam` and `sire` documents, flattened to (root, path, animal).
 
-    A level is found by its JSON path, so a document of depth 5 is one row in and up to 31 rows out,
-    without a shuffle. `animal` is the JSON text of that ancestor's document.
+    Levels are taken off one by one, without a shuffle, until a level is empty or `depth` levels are read.
+    `animal` is the JSON text of that ancestor's document.
     """
-    paths = [""]
-    level = [""]
-    for _ in range(depth - 1):
-        level = [p + letter for p in level for letter in "SD"]
-        paths += level
-    names = {"S": "sire", "D": "dam"}
-    entries = [
-        F.struct(F.lit(p).alias("path"), F.get_json_object(column, "$" + "".join(f".{names[x]}" for x in p)).alias("animal"))
-        for p in paths
-    ]
-    rows = docs.select(F.col("root"), F.inline(F.array(*entries)))
-    return rows.filter("animal is not null")
+    level = docs.select("root", F.lit("").alias("path"), F.get_json_object(column, "$").alias("animal")).filter("animal is not null")
+    levels = [level]
+    while depth is None or len(levels) < depth:
+        parents = [(F.lit(letter), F.get_json_object("animal", f"$.{name}")) for letter, name in (("S", "sire"), ("D", "dam"))]
+        up = level.select("root", "path", stack_rows(["letter", "parent"], *parents)).filter("parent is not null")
+        level = settle(up.select("root", F.concat("path", "letter").alias("path"), F.col("parent").alias("animal")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def raw_pages(spark: SparkSession, path: str, schema: str = "page_id bigint, url string, html string") -> DataFrame:

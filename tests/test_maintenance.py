@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from studbook.operators import conflicts as con, incremental as inc, search, upsert as up
+from studbook.operators import ancestry as anc, conflicts as con, incremental as inc, search, upsert as up
 from studbook.session import new_folder
 from studbook.sources import feeds, sinks
 from studbook.streaming import listing as ls
@@ -50,6 +50,51 @@ def test_resolve_then_undo_restores(spark, dogs):
     assert rows(con.undo_merge(table, log, wrong, left)[0], *dogs.columns) == rows(table, *dogs.columns)
 
 
+def test_two_resolutions_have_their_own_log(spark, dogs):
+    held = spark.createDataFrame([(1, "color", "a", "red"), (1, "color", "b", "blue")], "id bigint, field string, source string, value string")
+    first = spark.createDataFrame([(1, "blue"), (1, "azure")], "dog_id bigint, color string")
+    table, log, left = con.resolve_conflicts(dogs, first, held, F.current_date())
+    assert table.count() == 3 and rows(table.filter("id = 1"), "color") == [("blue",)]
+    second = spark.createDataFrame([(1, "green", "X")], "dog_id bigint, color string, source string")
+    table2, log2, left2 = con.resolve_conflicts(table, second, left, F.current_date(), held_log=log)
+    assert not {r.log_id for r in log.collect()} & {r.log_id for r in log2.collect()}
+    later = spark.createDataFrame([(1, "color", "b", "new")], left2.schema)
+    # The undo of both restores a field outside the conflict list and replaces a conflict found since.
+    whole = log.unionByName(log2)
+    back, rest, conflicts = con.undo_merge(table2, whole, whole.select("log_id", "dog_id").distinct(), left2.unionByName(later))
+    assert rows(back, *dogs.columns) == rows(dogs, *dogs.columns) and rest.count() == 0
+    assert rows(conflicts, "id", "field", "source", "value") == rows(held, "id", "field", "source", "value")
+
+
+def test_repeated_requests_keep_one_row_per_animal(spark, dogs):
+    twice = spark.createDataFrame([(1, "x", 1), (1, "w", 2), (2, None, 1)], "id bigint, notes string, position int")
+    assert rows(up.patch_notes(dogs, twice, "position"), "id", "notes") == [(1, "w"), (2, None), (3, None)]
+    changed = up.update_overwrite(dogs, twice.withColumnRenamed("notes", "color"), ["color"], position="position")
+    assert rows(changed, "id", "color") == [(1, "w"), (2, None), (3, rows(dogs.filter("id = 3"), "color")[0][0])]
+    parents = dogs.withColumns({"sire_id": F.lit(None).cast("bigint"), "dam_id": F.lit(None).cast("bigint")})
+    found = spark.createDataFrame([(1, 9, None), (1, None, 8), (1, 7, None)], "id bigint, sire_id bigint, dam_id bigint")
+    assert rows(up.link_parents(parents, found), "id", "sire_id", "dam_id") == [(1, 7, 8), (2, None, None), (3, None, None)]
+    values = spark.createDataFrame([(1, 0.5), (1, 0.5)], "root bigint, coi double")
+    assert anc.inbreeding_writeback(dogs.withColumn("coi", F.lit(None).cast("double")), values, F.current_date()).count() == 3
+
+
+def test_records_without_uuid_are_all_kept(spark):
+    registry = spark.createDataFrame([(4, "u", "A")], "id bigint, uuid string, registered_name string")
+    records = spark.createDataFrame([(1, None, "B"), (2, None, "C"), (3, "", "D"), (5, "v", "E"), (6, "v", "F")], "rec_id bigint, uuid string, registered_name string")
+    matches = records.select("rec_id", F.lit(None).cast("bigint").alias("matched_id"))
+    new = up.upsert_registry(registry, records, matches)
+    assert rows(new, "registered_name") == [("A",), ("B",), ("C",), ("D",), ("E",)]
+    assert sorted(r.id for r in new.collect()) == [4, 5, 6, 7, 8]
+
+
+def test_positions_count_over_all_rows(spark):
+    table = spark.range(1000).repartition(7).withColumn("name", F.when(F.col("id") % 10 != 0, F.col("id") % 13))
+    placed = search.with_position(search.sort_dynamic(table, "name", "desc")).collect()
+    want = sorted(((r.name is not None, -(r.name or 0), r.id) for r in placed))
+    assert [r.id for r in sorted(placed, key=lambda r: r.position)] == [w[2] for w in want]
+    assert sorted(r.position for r in placed) == list(range(1, 1001))
+
+
 def test_upsert_twice_is_once(spark):
     table = spark.createDataFrame([(5, 1, None, "x", 1), (9, 1, "n1", "x", 2)], "id bigint, dog_id bigint, ofa_number string, registry string, age_in_months int")
     batch = spark.createDataFrame([(1, None, "late", 7, 2), (1, None, "early", 6, 1), (2, "n2", "new", 8, 3), (2, None, "new", 9, 4)],
@@ -108,7 +153,8 @@ def test_take_until_cutoff_is_the_literal_rule(spark):
 def test_nested_documents_keep_depth(spark):
     docs = spark.createDataFrame([(1, '{"n":1,"sire":{"n":2,"sire":{"n":3,"dam":{"n":4,"dam":{"n":5,"dam":{"n":6}}}}},"dam":null}')], "root bigint, body string")
     found = feeds.nested_ancestor_docs(docs).select("path", F.get_json_object("animal", "$.n").alias("n"))
-    assert rows(found, "path", "n") == [("", "1"), ("S", "2"), ("SS", "3"), ("SSD", "4"), ("SSDD", "5")]
+    assert rows(found, "path", "n") == [("", "1"), ("S", "2"), ("SS", "3"), ("SSD", "4"), ("SSDD", "5"), ("SSDDD", "6")]
+    assert feeds.nested_ancestor_docs(docs, depth=2).count() == 2
 
 
 def test_search_wildcards_and_bounds(spark):
