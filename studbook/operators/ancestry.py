@@ -2,12 +2,14 @@
 
 A path from a root is the sequence of parent edges taken, sire = 0 and dam = 1. It is held as the
 number `bits` with its length `gen`. Two paths to one ancestor compare as text through `path_key`:
-the bits aligned to the left end of a 57-bit field, then the length. Keys are plain bigints, so the
-grouping below stays in hash aggregates and the shuffles carry three numbers per row.
+the bits aligned to the left end of a 57-bit field, then the length. Within the generation bound, at most
+19 edges, keys are plain bigints, so grouping stays in hash aggregates and shuffles carry three numbers per
+row. First paths can be longer than the bound: they are held as texts of 0 and 1 in the same order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,6 +37,11 @@ def key_bits(key: Column) -> Column:
     return F.call_function("shiftright", aligned, (F.lit(MAX_PATH) - key_length(key)).cast("int"))
 
 
+def key_text(key: Column) -> Column:
+    """The path of a key as a text of 0 and 1, which compares like the key and has no longest length."""
+    return F.call_function("lpad", F.bin(key_bits(key)), key_length(key), F.lit("0"))
+
+
 def path_text(bits: Column, gen: Column) -> Column:
     """`SD` for the sire's dam, the empty string for the root."""
     digits = F.call_function("lpad", F.bin(bits), gen.cast("int"), F.lit("0"))
@@ -166,6 +173,9 @@ def lineage_graph(dogs: DataFrame, generations: int = 5, ids: DataFrame | None =
     return labelled, drawn
 
 
+# So many small tables of improved paths are folded into one.
+FOLD = 8
+
 # Rows below hold one line per (root, node) with a key for each side: `s_` over the sire, `d_` over the dam.
 SIDES = {"s": 0, "d": 1}
 
@@ -182,17 +192,19 @@ def _collapse(paths: DataFrame, depth: int) -> DataFrame:
 
 def _longer(key: Column) -> Column:
     """The key with the joined edge's letter appended: the length grows by one and the letter takes the next bit."""
-    too_long = F.raise_error(F.lit("a path among bounded ancestors is longer than 57 edges"))
     place = (F.lit(MAX_PATH - 1 + LENGTH_BITS) - key_length(key)).cast("int")
-    grown = (key + 1).bitwiseOR(F.call_function("shiftleft", F.col("letter"), place))
-    return F.when(key_length(key) < MAX_PATH, grown).when(key.isNotNull(), too_long.cast("bigint"))
+    return (key + 1).bitwiseOR(F.call_function("shiftleft", F.col("letter"), place))
+
+
+def _longer_text(key: Column) -> Column:
+    return F.concat(key, F.col("letter").cast("string"))
 
 
-def _climb(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+def _climb(rows: DataFrame, edges: DataFrame, keys: list[str], longer: Callable[[Column], Column] = _longer) -> DataFrame:
     """Each row moved on to both parents, every key longer by that edge. Keys of equal length keep their order."""
     up = edges.select(F.col("child").alias("node"), "letter", "parent")
     joined = rows.alias("r").join(up.alias("e"), "node")
-    return joined.select("root", F.col("parent").alias("node"), *[_longer(F.col(k)).alias(k) for k in keys])
+    return joined.select("root", F.col("parent").alias("node"), *[longer(F.col(k)).alias(k) for k in keys])
 
 
 def bounded_levels(edges: DataFrame, generations: int, roots: DataFrame | None = None) -> DataFrame:
@@ -240,46 +252,56 @@ def _check_generations(generations: int) -> None:
         raise ValueError("generations lies in 1..20")
 
 
-def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = None, max_rounds: int = MAX_PATH) -> DataFrame:
+def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = None) -> DataFrame:
     """First depth-first path from each root over its sire and over its dam to every ancestor in reach.
 
-    Result: (root, node, s_low, d_low), path keys that are null where that side does not reach the node.
+    Result: (root, node, s_low, d_low), paths as texts of 0 and 1 that are null where that side does not reach the node.
     Only animals within generations - 1 edges of the root take part, but a path among them may be longer
     than that. Such longer paths are grown round by round, and only where they reach a node on a new side
     or beat its path; a beaten path never leads to a first path, so the rounds die out. Where wrong data
     forms a cycle, a path that comes round again starts with the path it would have to beat and ends there.
 
-    A round is one join with the edges and one grouping by (root, node), which answers both questions: is
-    the node a member, and is the new key smaller. Only the changed rows are written.
+    A round groups only the pairs it has reached and looks those up, so a late round costs little more than its rows.
     """
     _check_generations(generations)
     edges = settle(parent_edges(dogs))
     roots = None if ids is None else dogs.select("id").join(ids.select("id"), "id", "left_semi")
-    base = settle(bounded_levels(edges, generations, roots).drop("high"))
+    keys = ["s_low", "d_low", "s_end", "d_end"]
+    base = settle(bounded_levels(edges, generations, roots).select("root", "node", *[key_text(F.col(k)).alias(k) for k in keys]))
     known = base.select("root", "node", "s_low", "d_low")
     frontier = base.filter("s_end is not null or d_end is not null").select(
         "root", "node", F.col("s_end").alias("s_low"), F.col("d_end").alias("d_low"))
-    for _ in range(max_rounds):
-        frontier = settle(_one_longer(known, frontier, edges))
+    better: list[DataFrame] = []
+    while True:
+        frontier = settle(_one_longer([known, *better], frontier, edges))
         if frontier.isEmpty():
-            return known.groupBy("root", "node").agg(F.min("s_low").alias("s_low"), F.min("d_low").alias("d_low"))
-        known = known.unionByName(frontier)
-    raise RuntimeError(f"first paths still grow after {max_rounds} rounds")
-
-
-def _one_longer(known: DataFrame, frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of `known` that a frontier path reaches on a new side or by a smaller key, with those keys."""
-    none = F.lit(None).cast("bigint")
-    grown = _climb(frontier, edges, ["s_low", "d_low"]).select(
-        "root", "node", none.alias("s_low"), none.alias("d_low"), F.col("s_low").alias("s_new"), F.col("d_low").alias("d_new"))
-    held = known.select("*", none.alias("s_new"), none.alias("d_new"))
-    met = held.unionByName(grown).groupBy("root", "node").agg(*[F.min(c).alias(c) for c in ("s_low", "d_low", "s_new", "d_new")])
+            break
+        better.append(frontier)
+        if len(better) == FOLD:
+            better = [settle(_least_paths(better))]
+    if not better:
+        return known
+    late = settle(_least_paths(better)).withColumnsRenamed({"s_low": "s_late", "d_low": "d_late"})
+    return known.join(late, ["root", "node"], "left").select(
+        "root", "node", *[F.least(f"{k}_low", f"{k}_late").alias(f"{k}_low") for k in SIDES])
+
+
+def _least_paths(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("root", "node").agg(F.min("s_low").alias("s_low"), F.min("d_low").alias("d_low"))
+
+
+def _one_longer(known: list[DataFrame], frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of `known` that a frontier path reaches on a new side or by a smaller path, with those paths."""
+    grown = _climb(frontier, edges, ["s_low", "d_low"], _longer_text)
+    new = settle(grown.groupBy("root", "node").agg(F.min("s_low").alias("s_new"), F.min("d_low").alias("d_new")))
+    # Written first, so the lookup knows the size of what was reached.
+    met = reduce(DataFrame.unionByName, [table.join(new, ["root", "node"]) for table in known])
+    least = met.groupBy("root", "node").agg(*[F.min(c).alias(c) for c in ("s_low", "d_low", "s_new", "d_new")])
     changed = [
         F.when(F.coalesce(F.col(f"{k}_new") < F.col(f"{k}_low"), F.col(f"{k}_low").isNull()), F.col(f"{k}_new")).alias(f"{k}_low")
         for k in SIDES
     ]
-    members = met.filter("(s_low is not null or d_low is not null) and (s_new is not null or d_new is not null)")
-    return members.select("root", "node", *changed).filter("s_low is not null or d_low is not null")
+    return least.select("root", "node", *changed).filter("s_low is not null or d_low is not null")
 
 
 def _long_sides(paths: DataFrame) -> DataFrame:
@@ -301,8 +323,8 @@ def lineage_closure(paths: DataFrame) -> DataFrame:
 
 def lineage_first_path(paths: DataFrame) -> DataFrame:
     """(root, side, node, path, steps); the path starts with the parent's own letter, steps counts from the parent."""
-    bits, length = key_bits(F.col("low")), key_length(F.col("low"))
-    return _long_sides(paths).select("root", "side", "node", path_text(bits, length).alias("path"), (length - 1).alias("steps"))
+    text = F.translate("low", "01", "SD")
+    return _long_sides(paths).select("root", "side", "node", text.alias("path"), (F.length("low") - 1).alias("steps"))
 
 
 def common_ancestors(paths: DataFrame, bounded: DataFrame, dogs: DataFrame) -> DataFrame:
@@ -316,7 +338,7 @@ def contributions(paths: DataFrame, dogs: DataFrame) -> DataFrame:
     facts = dogs.select(
         F.col("id").alias("node"), F.col("registered_name").alias("ancestor_name"), F.coalesce("coi", F.lit(0.0)).alias("ancestor_coi")
     )
-    n1, n2 = key_length(F.col("s_low")) - 1, key_length(F.col("d_low")) - 1
+    n1, n2 = F.length("s_low") - 1, F.length("d_low") - 1
     share = F.pow(F.lit(0.5), (n1 + n2 + 1).cast("double")) * (1 + F.col("ancestor_coi"))
     return _shared(paths).join(facts, "node").select(
         "root", "node", "ancestor_name", n1.alias("generations_to_sire"), n2.alias("generations_to_dam"),
@@ -345,17 +367,14 @@ def inbreeding_details(paths: DataFrame, dogs: DataFrame) -> DataFrame:
     """Contribution rows with both paths as id lists, from the parent to the ancestor.
 
     Each prefix of a first path is the first path to the animal it ends at, so the ids come from a join
-    of the prefixes with the same table; a list holds at most 57 ids.
+    of the prefixes with the same table; a list is as long as its path.
     """
     rows = contributions(paths, dogs)
     tails = rows.select("root", "node", stack_rows(
         ["kind", "full_key"], (F.lit("sire_path"), F.col("s_low")), (F.lit("dam_path"), F.col("d_low")),
     ))
-    length = key_length(F.col("full_key"))
-    prefixes = tails.select("root", "node", "kind", length.alias("length"), key_bits(F.col("full_key")).alias("bits"),
-                            F.explode(F.sequence(F.lit(1), length)).alias("step"))
-    cut = F.call_function("shiftright", F.col("bits"), (F.col("length") - F.col("step")).cast("int"))
-    wanted = prefixes.select("root", "node", "kind", "step", path_key(cut, F.col("step")).alias("low"))
+    prefixes = tails.select("root", "node", "kind", "full_key", F.explode(F.sequence(F.lit(1), F.length("full_key"))).alias("step"))
+    wanted = prefixes.select("root", "node", "kind", "step", F.col("full_key").substr(F.lit(1), F.col("step")).alias("low"))
     stops = _long_sides(paths).select("root", "low", F.col("node").alias("stop"))
     lists = wanted.join(stops, ["root", "low"]).groupBy("root", "node").agg(*[
         F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("step", "stop")))).alias(kind)
