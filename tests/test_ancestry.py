@@ -99,6 +99,17 @@ def test_cycle_ends(spark):
     assert {(r.side, r.node) for r in paths.filter("root = 1").collect()} == {("sire", 2), ("sire", 1), ("sire", 3), ("dam", 3)}
 
 
+def test_first_paths_have_no_longest_length(spark):
+    """A chain whose first path of 69 edges is far longer than the generation bound."""
+    dogs = [(i, f"n{i}", i - 1 if i > 1 else None, i - 9 if i > 9 else None, None) for i in range(1, 71)]
+    frame = spark.createDataFrame(dogs, "id bigint, registered_name string, sire_id bigint, dam_id bigint, coi double")
+    paths = anc.side_paths(frame, 20, frame.filter("id = 70").select("id"))
+    found = {(r.side, r.node): r.path for r in anc.lineage_first_path(paths).collect()}
+    # Going by sires alone reaches every member over the sire's side, and over the dam's side from the dam on.
+    assert found["sire", 1] == "S" * 69 and found["dam", 1] == "D" + "S" * 60
+    assert len(found) == 69 + 61
+
+
 def test_batch_reports_unknown_ids(spark):
     frame = spark.createDataFrame(random_dogs(20, 9), "id bigint, registered_name string, sire_id bigint, dam_id bigint, coi double")
     ids = spark.createDataFrame([(20,), (999,)], "id bigint")
