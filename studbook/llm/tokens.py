@@ -18,7 +18,7 @@ import pyarrow as pa
 from .columns import constants, plain, ragged, span_hashes
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
-_CACHED_WORDS = 800_000
+_CACHED_WORDS = 200_000
 # The short endings that the pattern splits off after an apostrophe.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
