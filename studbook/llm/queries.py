@@ -15,10 +15,14 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 CAPACITY, END_ID = 1024, 2
 TOXIC_FROM = 0.7
+# Bounds on what moves to a Python worker at once; a longer text is a batch of its own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package also when it is not installed; a cluster has it installed."""
+    """Bound the batches of Python workers, and let those on this machine import the package where it is not installed."""
+    for setting, bound in BATCHES.items():
+        spark.conf.set(setting, bound)
     place, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if place not in held.get("PYTHONPATH", "").split(os.pathsep):
         held["PYTHONPATH"] = os.pathsep.join(x for x in (place, held.get("PYTHONPATH")) if x)
