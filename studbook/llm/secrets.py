@@ -1,8 +1,9 @@
 """Secrets in whole texts: known shapes, and random strings found by their token efficiency.
 
-Three shapes are matched by pattern. Beyond them, a run of key characters with letters and digits is taken for a random
-string when the vocabulary needs a token for every MAX_RATIO characters or fewer: words and names compress well, random
-strings don't. Known digests (hexadecimal or base-32 of a usual length), UUIDs and identifiers made of words are left out.
+Three shapes are matched by pattern. Beyond them, a run of key characters with a letter is taken for a random string when
+the vocabulary needs a token for every MAX_RATIO characters or fewer: words and names compress well, random strings don't.
+Known digests (hexadecimal or base-32 of a usual length), UUIDs and identifiers are left out; an identifier, cut at its
+separators and changes of case, gives words of PART_TOKENS tokens or fewer that hold PART_RATIO letters a token in all.
 Null text counts as empty; spans are in code points, ends exclusive.
 """
 
@@ -30,7 +31,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 DIGEST = re.compile(r"[0-9A-Fa-f]+|[A-Z2-7]{32}")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-IDENTIFIER = re.compile(r"[/_-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_-]*(?:[A-Z]?[a-z]+|[A-Z]+))*(?:[/_-]*v?[0-9]{1,4})?[/_-]*")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+CLOSING = re.compile(r"v?[0-9]{1,4}[/_-]*$")
+PART_TOKENS, PART_RATIO = 2, 1.7
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -47,13 +50,22 @@ def shaped(text: str) -> Iterator[tuple[int, int, int]]:
 
 
 def is_known(run: str) -> bool:
-    """Digests, UUIDs and identifiers made of words."""
-    return bool(DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
+    """Digests and UUIDs."""
+    return bool(DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run))
+
+
+def is_identifier(run: str, encode) -> bool:
+    """Words of few tokens each, with no digits but a short number at the end."""
+    run = CLOSING.sub("", run)
+    if any(c.isdigit() for c in run):
+        return False
+    parts = PART.findall(run)
+    tokens = [len(encode(part)) for part in parts]
+    return max(tokens, default=0) <= PART_TOKENS and sum(map(len, parts)) >= PART_RATIO * sum(tokens)
 
 
 def is_random(run: str, encode, max_ratio: float = MAX_RATIO) -> bool:
-    has_digit, has_letter = any(c.isdigit() for c in run), any(c.isalpha() for c in run)
-    return has_digit and has_letter and not is_known(run) and len(run) <= max_ratio * len(encode(run))
+    return any(c.isalpha() for c in run) and len(run) <= max_ratio * len(encode(run)) and not is_known(run) and not is_identifier(run, encode)
 
 
 def secret_spans(text: str, encode, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:

@@ -106,6 +106,18 @@ def test_shapes_are_kept_and_random_strings_added():
     assert {k: v for k, v in added.items() if v} == {"key Zx9Qw7Lm3Vt8Rb2Kp5Yc1Nd4 end": ["Zx9Qw7Lm3Vt8Rb2Kp5Yc1Nd4"]}
 
 
+def test_random_strings_of_letters_and_with_closing_digits_are_found():
+    encode = encoder(queries.RANKS, queries.PATTERN).encoding.encode_ordinary
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for ending in ("", "7", "1234"):
+        runs = ["".join(rng.choice(letters) for _ in range(24)) + ending for _ in range(300)]
+        assert sum(secrets.secret_spans(f"key {run} end", encode) == [(4, 3, 4 + len(run))] for run in runs) >= 297
+    assert secrets.is_random("qWxZpRtYvBnMLsDfGhQk1234", encode) and secrets.is_random("kwtrplmqxzvbnghtydws", encode)
+    for name in ("getElementsByTagNameAndClassNameForUser", "/usr/local/lib/python3/site-packages/numpy", "/en/us/de/fr/it/es/pt/nl/se/no", "HTTP_ERR_SSL_TLS_RSA_AES_GCM", "rgba/src/lib/abc/def/x/y/z", "user_account_settings_page_view_2024"):
+        assert not secrets.is_random(name, encode)
+
+
 def test_secret_columns(make_docs):
     docs = list(enumerate(SECRET_TEXTS)) + [(None, "AKIAABCDEFGHIJKLMN"), (3, "again")]
     found = secrets.digest_columns(secrets.scan(make_docs(docs), queries.RANKS, queries.PATTERN)).collect()
