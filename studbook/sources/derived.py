@@ -69,7 +69,7 @@ select id as rec_id,
   land_of_birth,
   case when id % 9 = 0 then weight + 1 else weight end as weight,
   'source_b' as source
-from (select r.*, cast(floor(id/3) as bigint) % 5 as k from registry_named r where id % 3 = 0) t
+from (select r.*, id % 5 as k from registry_named r) t
 """
 
 VIEWS["raw_values"] = """

@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from studbook.operators import ancestry as anc, conflicts as con, incremental as inc, search, upsert as up
 from studbook.session import new_folder
 from studbook.sources import feeds, sinks
+from studbook.sources.derived import Tables
 from studbook.streaming import listing as ls
 
 DOG = "id bigint, registered_name string, color string, weight double, source string, has_conflicts boolean"
@@ -20,6 +22,12 @@ def dogs(spark):
     return spark.createDataFrame([(1, "A", "red", 0.0, "a", True), (2, "B", "", 12.5, None, False), (3, "C", None, None, "a", False)], DOG)
 
 
+def test_every_animal_gives_one_incoming_record(spark):
+    tables = Tables(spark, SMALL)
+    held = [r.id for r in tables("registry").select("id").collect()]
+    assert sorted(r.rec_id for r in tables("incoming").select("rec_id").collect()) == sorted(held)
+
+
 def test_conflicts_and_merge(spark, dogs):
     records = spark.createDataFrame([(7, "A", "blue", 9.0, "b"), (8, "BB", "", 0.0, "b"), (9, "BB", "grey", 3.0, "c")],
                                     "rec_id bigint, registered_name string, color string, weight double, source string")
