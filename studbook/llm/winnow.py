@@ -128,6 +128,8 @@ def _blocks(items: DataFrame, item: str, item_text: str, width: int, gram: int):
 def without_hits(docs: DataFrame, items: DataFrame, width: int = 10, gram: int = GRAM, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, in whose text no window of an item occurs."""
     place = docs.columns.index(text)
+    # Which item it was doesn't matter, so one without an id counts too.
+    items = items.withColumn(item, F.coalesce(F.col(item).cast("string"), F.lit("")))
     for shared in _blocks(items, item, item_text, width, gram):
         docs = docs.mapInArrow(_keeper(shared, place, width, gram), docs.schema)
     return docs

@@ -225,3 +225,10 @@ def test_ids_equal_those_of_the_tokenizer():
     ids, bounds = encoder(queries.RANKS, queries.PATTERN).encode(pa.array(texts))
     assert [ids[bounds[i]:bounds[i + 1]].tolist() for i in range(len(texts))] == wanted
     assert encoder(queries.RANKS, queries.PATTERN).lengths(pa.array(texts)).tolist() == [len(w) for w in wanted]
+
+
+def test_items_without_an_id_take_their_documents_out(spark, make_docs):
+    leaked = " ".join(f"word{i}" for i in range(20))
+    items = spark.createDataFrame([(None, leaked), ("a", " ".join(f"other{i}" for i in range(20)))], "item_id string, text string")
+    kept = winnow.without_hits(make_docs([(1, f"before {leaked} after"), (2, "a clean text of a few words")]), items)
+    assert [r.doc_id for r in kept.collect()] == [2]
