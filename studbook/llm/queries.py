@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bagminhash, lengths, packing, passages, secrets, sketch, suffix, toxicity, warc, winnow
+from . import bagminhash, dimscan, lengths, packing, passages, secrets, sketch, suffix, toxicity, warc, winnow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -81,5 +81,9 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op5_near_passages, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates]}
+def op11_adaptive_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return dimscan.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op5_near_passages, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates, op11_adaptive_scan]}
 ORACLES: dict[str, str] = {}
