@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bagminhash, dimscan, lengths, packing, passages, secrets, sketch, suffix, toxicity, warc, winnow
+from . import bagminhash, dimscan, lengths, packing, passages, prefixtrie, secrets, sketch, suffix, toxicity, warc, winnow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -85,5 +85,15 @@ def op11_adaptive_scan(spark: SparkSession, folder: str) -> DataFrame:
     return dimscan.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op5_near_passages, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates, op11_adaptive_scan]}
+def trie_heads():
+    """Whose first turns a conversation takes over, and how many."""
+    return F.col("conv_id") - F.col("conv_id") % 20, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = settle(prefixtrie.turn_digests(_table(spark, folder, "conversations")))
+    return prefixtrie.trie(prefixtrie.with_shared_heads(turns, *trie_heads(), most=3))
+
+
+QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op5_near_passages, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates, op11_adaptive_scan, op12_prefix_trie]}
 ORACLES: dict[str, str] = {}
