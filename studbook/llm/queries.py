@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bagminhash, dimscan, lengths, packing, passages, prefixtrie, secrets, sketch, suffix, toxicity, warc, winnow
+from . import bagminhash, dimscan, lengths, packing, passages, prefixtrie, secrets, sketch, suffix, toxicity, turnrepair, warc, winnow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -95,5 +95,16 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixtrie.trie(prefixtrie.with_shared_heads(turns, *trie_heads(), most=3))
 
 
-QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op5_near_passages, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates, op11_adaptive_scan, op12_prefix_trie]}
+def damage():
+    """The number that decides how a turn is damaged."""
+    def written(column):
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+    return F.crc32(F.concat(written("conv_id"), F.lit(":"), written("turn")).cast("binary")) % 20
+
+
+def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turnrepair.repaired(turnrepair.damaged(_table(spark, folder, "conversations"), damage()))
+
+
+QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op5_near_passages, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates, op11_adaptive_scan, op12_prefix_trie, op13_structure_repair]}
 ORACLES: dict[str, str] = {}
