@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import settle
 
@@ -43,8 +43,9 @@ def beta_bounds(columns: int, loss: float) -> list[tuple[int, int, float]]:
     """(first column, last column + 1, largest share of a distance after them) for each column block."""
     out = []
     grid = (np.arange(1 << 16) + 0.5) / (1 << 16)
-    for start in range(0, columns, COLUMNS):
-        end = min(start + COLUMNS, columns)
+    # The last block takes what is less than a block: there a law for one more column would leave nothing to gain.
+    for start in range(0, max(columns - COLUMNS, 0) + 1, COLUMNS):
+        end = start + COLUMNS if start + 2 * COLUMNS <= columns else columns
         share = 1.0
         if end < columns:
             weight = (end / 2 - 1) * np.log(grid) + ((columns - end) / 2 - 1) * np.log1p(-grid)
@@ -249,7 +250,7 @@ def _scan_blocks(count: int, scale: float, radius: float, width: int, batches: I
                                              ["query_row", "query_id", "row", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, is_query, count: int = 20, lists: int = LISTS, share: float = SHARE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column | str, count: int = 20, lists: int = LISTS, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the nearest `count` rows of each row for which the condition `is_query` holds.
 
     Lists are dealt out in parts of about BLOCK rows and the visits of a list in parts of as many queries, so a list with

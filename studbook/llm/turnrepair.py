@@ -60,7 +60,9 @@ def with_faults(turns: DataFrame) -> DataFrame:
     seen = F.row_number().over(Window.partitionBy("conv_id", "here", "role", "digest").orderBy(F.asc_nulls_first("turn")))
     fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), Fault["blank"]).when(F.col("seen") > 1, Fault["duplicate"]).when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), Fault["truncated"]).otherwise(0)
     faulty = dealt.withColumn("seen", seen).withColumn("fault", fault.cast("int"))
-    return faulty.sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "digest", "seen").select("conv_id", "turn", "role", "text", "here", "fault")
+    ordered = faulty.sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "digest", "seen")
+    # As texts, since pandas makes floats of a long column with nulls.
+    return ordered.select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text", "here", "fault")
 
 
 class Steps:
@@ -211,12 +213,13 @@ def _repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         columns = [frame[c].astype("object").where(frame[c].notna(), None).tolist() for c in ("conv_id", "turn", "role", "text", "here", "fault")]
         for conv_id, turn, role, text, here, fault in zip(*columns):
+            conv_id = None if conv_id is None else int(conv_id)
             if held is None or conv_id != held.conv_id:
                 if held is not None:
                     out.append(held.row())
                     if len(out) >= OUT_ROWS:
                         yield ready()
-                held = Conversation(None if conv_id is None else int(conv_id), steps)
+                held = Conversation(conv_id, steps)
             if here:
                 held.turn(None if turn is None else int(turn), role, text, int(fault))
     if held is not None:
