@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from small_tables import SMALL
 from studbook.operators import ancestry as anc, conflicts as con, incremental as inc, search, upsert as up
 from studbook.session import new_folder
 from studbook.sources import feeds, sinks

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
-from conftest import SMALL
+from small_tables import SMALL
 from studbook.plans.check import compare, duck
 
 RUNS, SQL = {k: run for k, run in driver.queries().items() if k in driver.QUERIES}, driver.oracle_sql()

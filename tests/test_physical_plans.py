@@ -2,7 +2,7 @@
 
 import __spark_entry__ as driver
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 from studbook.operators import ancestry as anc, search
 from studbook.session import new_folder
 from studbook.sources.derived import Tables
