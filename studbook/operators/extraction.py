@@ -175,12 +175,16 @@ def extract_table_rows(pages: DataFrame, headers: list[str]) -> DataFrame:
     return kept.select("page_id", "position", *[h.node_text(F.get("c", F.lit(i))).alias(name) for i, name in enumerate(headers)])
 
 
-def extract_section_links(pages: DataFrame, section: str, base_url: str) -> DataFrame:
-    """Links of a named section as absolute urls, each url at its first page only."""
+def section_links(pages: DataFrame, section: str, base_url: str) -> DataFrame:
+    """(page_id, position, url, name): every link of a named section, its url absolute."""
     found = h.links(h.body_with(F.col("html"), "div", "class", section))
     one = pages.select("page_id", F.posexplode(found).alias("position", "link"))
-    rows = one.select("page_id", "position", tx.absolute_url(F.col("link.href"), base_url).alias("url"), F.col("link.text").alias("name"))
-    return _first_per(rows, "url")
+    return one.select("page_id", "position", tx.absolute_url(F.col("link.href"), base_url).alias("url"), F.col("link.text").alias("name"))
+
+
+def extract_section_links(pages: DataFrame, section: str, base_url: str) -> DataFrame:
+    """Links of a named section as absolute urls, each url at its first page only."""
+    return _first_per(section_links(pages, section, base_url), "url")
 
 
 def extract_page_links(pages: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import parse_datetime_listing
-from ..operators import incremental as inc, matching as mat, upsert as up
-from ..session import new_folder
+from ..functions.rows import stack_rows
+from ..operators import incremental as inc, ingest as ing, matching as mat, upsert as up
+from ..session import new_folder, settle
 from ..sources import feeds, schema as sc, sinks
 from ..streaming import listing as ls
 from . import query
@@ -198,6 +199,76 @@ def upsert_registry(t):
     return up.upsert_registry(registry, records, mat.match_cascade(records, registry)).select("id", "uuid", "registered_name", "weight", "color")
 
 
+# --- a whole batch of pages ------------------------------------------------------------------------
+
+INGEST = {
+    "new_level": """
+select page_id, max(level) as level from (
+  with recursive walk(page_id, level) as (
+    select page_id, 0 from ingest_facts where is_new and copy = 0
+    union select c.page_id, w.level + 1 from walk w join ingest_facts c on (c.sire_id = w.page_id or c.dam_id = w.page_id) and c.is_new and c.copy = 0)
+  select * from walk) x group by page_id""",
+    "animal": """
+select f.*, case when is_new then n.new_id else f.id end as animal_id from ingest_facts f left join (
+  select page_id, (select max(id) from registry) + row_number() over (order by level, md5(concat(md5(concat('s', cast(page_id as varchar))), ' rec ', cast(page_id as varchar)))) as new_id from new_level) n
+  on n.page_id = f.id""",
+    "told": """
+select a.animal_id, a.is_new, a.copy, a.name, a.color, s.name as sire_name, d.name as dam_name, r.color as r_color, r.sire_name as r_sire, r.dam_name as r_dam, l.color as l_color, l.name as l_name
+from animal a left join ingest_facts s on s.page_id = a.sire_id left join ingest_facts d on d.page_id = a.dam_id
+left join registry_named r on r.id = a.id left join ingest_facts l on l.page_id = a.id""",
+    "differs": """
+select animal_id, 'color' as field, r_color as old, color as new, 'source_a' as source from told where not is_new and r_color <> '' and color <> '' and r_color <> color
+union all select animal_id, 'sire_name', r_sire, sire_name, 'source_a' from told where not is_new and r_sire <> sire_name
+union all select animal_id, 'dam_name', r_dam, dam_name, 'source_a' from told where not is_new and r_dam <> dam_name
+union all select animal_id, 'color', l_color, color, 'source_b' from told where is_new and copy > 0 and l_color <> '' and l_color <> color
+union all select animal_id, 'registered_name', l_name, name, 'source_b' from told where is_new and copy = 2""",
+}
+
+
+@query("ingest_pages", """
+select 'animal' as part, id, cast(null as bigint) as other_id, concat(name, '/', color) as text, cast(id in (select animal_id from differs) as bigint) as number from (
+  select r.id, r.registered_name as name, case when coalesce(r.color, '') = '' then a.color else r.color end as color from registry r join animal a on a.page_id = r.id where true
+  union all select a.animal_id, a.name, case when a.color = '' then coalesce(c.color, '') else a.color end from animal a left join ingest_facts c on c.id = a.id and c.copy > 0 where a.is_new and a.copy = 0) x
+union all select 'parent', c.animal_id, p.animal_id, 'sire', null from animal c join animal p on p.page_id = c.sire_id where c.copy = 0
+union all select 'parent', c.animal_id, p.animal_id, 'dam', null from animal c join animal p on p.page_id = c.dam_id where c.copy = 0
+union all select 'parent', id, sire_id, 'sire', null from registry where id % 3 = 0 and sire_id is not null
+union all select 'parent', id, dam_id, 'dam', null from registry where id % 3 = 0 and dam_id is not null
+union all select 'owner', animal_id, null, owner, null from animal where owner <> ''
+union all select 'owner', animal_id, null, 'Second Owner', null from animal where owner <> '' and id % 4 = 0
+union all select 'owner', l.dog_id, null, o.name, null from dog_owner l join owner o on o.id = l.owner_id where l.dog_id % 10 = 9 or l.dog_id % 3 = 0 or l.dog_id not in (select id from registry)
+union all select 'breeder', animal_id, null, breeder, null from animal where breeder <> ''
+union all select distinct 'sibling', id, other_id, null, cast(null as bigint) from (
+  select a.animal_id as id, b.animal_id as other_id from animal a join animal b on b.page_id = a.id + 1 where a.copy = 0 and a.id % 4 = 1 union select dog_id, sibling_id from sibling_link) y
+union all select 'litter', p.animal_id, null, cast(c.born as varchar), sum(case when c.sex = 1 then 1000 else 1 end)::bigint from animal c join animal p on p.page_id = c.dam_id where c.dam_id % 7 = 0 group by 2, 4
+union all select 'puppy', c.animal_id, p.animal_id, cast(c.born as varchar), null from animal c join animal p on p.page_id = c.dam_id where c.dam_id % 7 = 0
+union all select 'conflict', animal_id, null, concat(field, '/', source, '/', case when source = 'source_b' then new else old end), null from differs
+union all select 'conflict', animal_id, null, concat(field, '/source_b/', new), null from differs where source = 'source_a'""", INGEST, recursive=True)
+def ingest_pages(t):
+    people = "cast(null as bigint) as id, cast(null as string) as name, cast(null as string) as uuid"
+    state = ing.State(
+        t.stored("registry_named"), t.sql("select id, name, uuid, is_main_owner from owner"), t.sql(f"select {people}, true as is_breeder from nation where false"),
+        t.sql("select dog_id, owner_id as person_id from dog_owner"), t.sql("select cast(null as bigint) as dog_id, cast(null as bigint) as person_id from nation where false"),
+        t("sibling_link"), t("litter"), t.sql("select cast(null as bigint) as id, '' as field, '' as source, '' as value from nation where false"))
+    after, _ = ing.ingest(state, ing.read_pages(t.stored("ingest_pages"), "http://b/", "source_b"))
+    nothing, none = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    def part(name, frame, key, other=nothing, text=none, number=nothing):
+        return frame.select(F.lit(name).alias("part"), F.col(key).alias("id"), other.cast("bigint").alias("other_id"), text.alias("text"), number.cast("bigint").alias("number"))
+
+    dogs, litters = settle(after.registry), settle(after.litters.where("sire_id is null"))
+    parents = dogs.select("id", stack_rows(["text", "other"], (F.lit("sire"), F.col("sire_id")), (F.lit("dam"), F.col("dam_id")))).where("other is not null")
+    puppies = dogs.join(litters.select(F.col("id").alias("birth_litter_id"), "dam_id", F.col("date_of_birth").alias("litter_date")).withColumnRenamed("dam_id", "litter_dam"), "birth_litter_id")
+    people_links = [part(role, links.join(table.select(F.col("id").alias("person_id"), "name"), "person_id"), "dog_id", text=F.col("name"))
+                    for role, links, table in (("owner", after.owner_links, after.owners), ("breeder", after.breeder_links, after.breeders))]
+    parts = [
+        part("animal", dogs, "id", text=F.concat("registered_name", F.lit("/"), F.coalesce("color", F.lit(""))), number=F.col("has_conflicts").cast("int")),
+        part("parent", parents, "id", F.col("other"), F.col("text")), *people_links, part("sibling", after.siblings, "dog_id", F.col("sibling_id")),
+        part("litter", litters, "dam_id", text=F.col("date_of_birth").cast("string"), number=F.col("male_count") * 1000 + F.col("female_count")),
+        part("puppy", puppies, "id", F.col("litter_dam"), F.col("litter_date").cast("string")),
+        part("conflict", after.conflicts, "id", text=F.concat_ws("/", "field", "source", "value"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 OVERWRITES = "select rec_id as id, color, weight, cast(rec_id - 1 as bigint) as sire_id, cast(null as bigint) as dam_id from incoming"
 
 

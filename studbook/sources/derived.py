@@ -72,6 +72,40 @@ select id as rec_id,
 from (select r.*, id % 5 as k from registry_named r) t
 """
 
+# Pages of a batch: one for every animal, a third of them under a name the registry doesn't hold, and second pages of some
+# new animals, under the same name or one with a letter more.
+VIEWS["ingest_facts"] = """
+select f.*, concat('s', cast(f.page_id as string)) as slug from (
+  select id as page_id, id, 0 as copy, id % 3 = 0 as is_new, sire_id, dam_id, sex,
+    case when id % 3 = 0 then concat('Boreal ', substr(md5(concat('x', cast(id as string))), 1, 12)) else registered_name end as name,
+    case when id % 3 = 0 then date_of_birth + cast(11 + id % 20000 as int) else date_of_birth end as born,
+    case when id % 4 = 0 then '' when id % 4 = 1 then 'AMENDED' else coalesce(color, '') end as color,
+    case when id % 10 = 9 then '' else concat('Owner ', cast(id % 50 as string)) end as owner,
+    case when id % 2 = 0 then concat('Breeder ', cast(id % 40 as string)) else '' end as breeder from registry
+  union all
+  select id + case when id % 15 = 0 then 10000000 else 20000000 end, id, case when id % 15 = 0 then 1 else 2 end, true, cast(null as bigint), cast(null as bigint), sex,
+    concat('Boreal ', substr(md5(concat('x', cast(id as string))), 1, 12), case when id % 15 = 0 then '' else '~' end), cast(null as date), 'COPY', '', '' from registry where id % 15 in (0, 3)) f
+"""
+
+VIEWS["ingest_pages"] = """
+select f.page_id, concat('http://b/details.php?name=', f.slug) as url, concat('<div class="titlename"><h1 itemprop="name"> ', f.name, ' </h1></div><div class="generalInfo">',
+  '<div class="textRow"><div class="textLabel">Пол:</div><div class="textDescription">', case when f.sex = 1 then 'Male' else 'Female' end, '</div></div>',
+  case when f.born is null then '' else concat('<div class="textRow"><div class="textLabel">Дата рождения:</div><div class="textDescription">', cast(day(f.born) as string), ' ',
+    case month(f.born) when 1 then 'января' when 2 then 'февраля' when 3 then 'марта' when 4 then 'апреля' when 5 then 'мая' when 6 then 'июня' when 7 then 'июля'
+      when 8 then 'августа' when 9 then 'сентября' when 10 then 'октября' when 11 then 'ноября' else 'декабря' end, ' ', cast(year(f.born) as string), '</div></div>') end,
+  '<div class="textRow"><div class="textLabel">Окрас:</div><div class="textDescription">', f.color, '</div></div>',
+  case when s.slug is null then '' else concat('<div class="textRow"><div class="textLabel">Отец:</div><div class="textDescription"><a href="details.php?name=', s.slug, '">', s.name, '</a></div></div>') end,
+  case when d.slug is null then '' else concat('<div class="textRow"><div class="textLabel">Мать:</div><div class="textDescription"><a href="details.php?name=', d.slug, '">', d.name, '</a></div></div>') end,
+  case when f.owner = '' then '' else concat('<div class="textRow"><div class="textLabel">Владелец:</div><div class="textDescription"><a href="o.php?x=1">', f.owner, '</a>',
+    case when f.id % 4 = 0 then '<a href="o.php?x=2">Second Owner</a>' else '' end, '</div></div>') end,
+  case when f.breeder = '' then '' else concat('<div class="textRow"><div class="textLabel">Заводчик:</div><div class="textDescription"><a href="o.php?x=3">', f.breeder, '</a></div></div>') end,
+  '</div><div class="siblings">', case when f.copy = 0 and f.id % 4 = 1 then concat('<a href="details.php?name=s', cast(f.id + 1 as string), '">x</a>') else '' end, '</div>',
+  '<div class="children">', coalesce(k.links, ''), '</div>') as html
+from ingest_facts f left join ingest_facts s on s.page_id = f.sire_id left join ingest_facts d on d.page_id = f.dam_id
+left join (select dam_id, string_agg(concat('<a href="details.php?name=', slug, '">', name, '</a>'), '') as links from ingest_facts where dam_id % 7 = 0 group by dam_id) k
+  on k.dam_id = f.id and f.copy = 0
+"""
+
 VIEWS["raw_values"] = """
 select o_orderkey as id,
   case when o_orderkey % 6 = 0 then concat(cast(1 + o_orderkey % 28 as string), ' Dec 2022')
