@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as d, html as h, numbers as num, text as tx
-from ..functions.text import blank_to_null
+from .elements import Search, find
 
 # Script variables with the shape of their literal.
 SCRIPT_VARIABLES = {"animal": r"\{.*?\}", "health_screenings": r"\[.*?\]", "animal_healthinfos": r"\[.*?\]", "siblings": r"\[.*?\]", "litters": r"\{.*?\}"}
@@ -25,28 +25,30 @@ def extract_script_json(pages: DataFrame) -> DataFrame:
         F.coalesce(value, F.lit("{}" if name == "animal" else "[]")).alias(name) for name, value in found.items()])
 
 
+LABELS = Search("div.textLabel", parts=(("value", "+div.textDescription"),))
+HEADING = Search("h1[itemprop=name]", within="div.titlename")
+
+
 def _label_rows(pages: DataFrame) -> DataFrame:
-    pattern = r'(?is)<div[^>]*class="textLabel"[^>]*>(.*?)</div>\s*<div[^>]*class="textDescription"[^>]*>(.*?)</div>'
-    zipped = F.arrays_zip(h.all_groups(F.col("html"), pattern, 1).alias("label"), h.all_groups(F.col("html"), pattern, 2).alias("body"))
-    rows = pages.select("page_id", F.posexplode(zipped).alias("position", "row"))
-    return rows.select("page_id", "position", _label(F.col("row.label")).alias("label"), F.col("row.body").alias("body"))
+    """(page_id, position, label, value): labels with a description beside them, numbered among these."""
+    rows = find(pages.select("page_id", "html"), LABELS).select("page_id", "position", _label(F.col("text")).alias("label"), F.try_element_at("parts", F.lit("value")).alias("value"))
+    return rows.filter("value is not null")
 
 
 def _label(c: Column) -> Column:
-    return F.regexp_replace(F.lower(h.node_text(c)), ":+$", "")
+    return F.regexp_replace(F.lower(tx.strip(c)), ":+$", "")
 
 
 def extract_label_values(pages: DataFrame) -> DataFrame:
     """(page_id, position, label, value) for every labelled row; the page's heading has the label `name`."""
-    rows = _label_rows(pages).select("page_id", "position", "label", h.node_text(F.col("body")).alias("value"))
-    heading = tx.first_group(F.col("html"), r'(?is)<div[^>]*class="titlename"[^>]*>.*?<h1[^>]*itemprop="name"[^>]*>(.*?)</h1>')
-    names = pages.select("page_id", F.lit(-1).alias("position"), F.lit("name").alias("label"), h.node_text(heading).alias("value"))
-    return rows.unionByName(names.filter("value is not null"))
+    rows = _label_rows(pages).select("page_id", "position", "label", F.col("value.text").alias("value"))
+    names = find(pages.select("page_id", "html"), HEADING).filter("position = 0")
+    return rows.unionByName(names.select("page_id", F.lit(-1).alias("position"), F.lit("name").alias("label"), F.col("text").alias("value")))
 
 
 def extract_label_links(pages: DataFrame, base_url: str, all_links_label: str = "владелец") -> DataFrame:
     """(page_id, label, link_no, text, url): every link of the owner row, the first link of any other."""
-    linked = _label_rows(pages).select("page_id", "label", F.posexplode(h.links(F.col("body"))).alias("link_no", "link"))
+    linked = _label_rows(pages).select("page_id", "label", F.posexplode("value.links").alias("link_no", "link"))
     kept = linked.filter((F.col("link_no") == 0) | (F.col("label") == all_links_label))
     return kept.select("page_id", "label", "link_no", F.col("link.text").alias("text"), tx.absolute_url(F.col("link.href"), base_url).alias("url"))
 
@@ -61,49 +63,62 @@ def label_map(values: DataFrame, links: DataFrame) -> DataFrame:
 
 def extract_labelled_table(pages: DataFrame, table_class: str = "podaci", heading_class: str = "sadrzaj") -> DataFrame:
     """(page_id, registered_name, info): two-cell rows as a map by lower-case label."""
-    heading = tx.first_group(F.col("html"), rf'(?is)<div[^>]*class="{heading_class}"[^>]*>.*?<h2[^>]*>(.*?)</h2>')
-    rows = F.filter(h.table_rows(h.body_with(F.col("html"), "table", "class", table_class)), lambda cells: F.size(cells) >= 2)
-    entries = F.transform(rows, lambda cells: F.struct(_label(F.get(cells, F.lit(0))).alias("key"), h.node_text(F.get(cells, F.lit(1))).alias("value")))
-    listed = pages.select("page_id", h.node_text(heading).alias("registered_name"), F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")).alias("entries"))
-    return listed.select("page_id", "registered_name", h.last_wins(F.col("entries")).alias("info"))
+    own = pages.select("page_id", "html")
+    headings = find(own, Search("h2", within=f"div.{heading_class}")).filter("position = 0").select("page_id", F.col("text").alias("registered_name"))
+    rows = find(own, Search("tr", within=f"table.{table_class}", cells=2))
+    entry = F.struct("position", _label(F.col("cells")[0]["text"]).alias("key"), F.col("cells")[1]["text"].alias("value"))
+    entries = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    listed = pages.select("page_id").join(headings, "page_id", "left").join(entries, "page_id", "left")
+    none = F.array().cast("array<struct<position:int,key:string,value:string>>")
+    pairs = F.transform(F.coalesce("entries", none), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return listed.select("page_id", "registered_name", h.last_wins(pairs).alias("info"))
 
 
 def extract_photo_ids(pages: DataFrame, base_url: str, cell_class: str = "right") -> DataFrame:
     """Image urls behind `photo(a, b,` handlers, joined by `;`; null when the page has none."""
-    cell = h.body_with(F.col("html"), "td", "class", cell_class)
-    ids = h.all_groups(cell, r'onclick\s*=\s*"[^"]*photo\(\d+,\s*(\d+),')
-    urls = F.transform(ids, lambda i: F.concat(F.lit(f"{base_url}/slike/"), i, F.lit("/"), F.col("page_id").cast("string"), F.lit(".jpg")))
-    return pages.select("page_id", blank_to_null(F.array_join(urls, ";")).alias("photo_url"))
+    calls = find(pages.select("page_id", "html"), Search("[onclick*=photo]", within=f"td.{cell_class}"))
+    asked = calls.select("page_id", "position", tx.first_group(F.col("attributes")["onclick"], r"photo\(\d+,\s*(\d+),").alias("photo")).filter("photo is not null")
+    url = F.concat(F.lit(f"{base_url}/slike/"), F.col("photo"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".jpg"))
+    urls = asked.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", url.alias("url")))).alias("urls"))
+    return pages.select("page_id").join(urls, "page_id", "left").select("page_id", F.array_join("urls.url", ";").alias("photo_url"))
 
 
 def extract_parents_by_rowspan(pages: DataFrame, generations: int = 3, table_class: str = "pedigre") -> DataFrame:
     """Sire and dam from an ancestry table: per row the first cell spanning half of it; the first is the sire."""
-    span = 2 ** (generations - 1)
-    rows = h.bodies(h.body_with(F.col("html"), "table", "class", table_class), "tr")
-    cells = F.transform(rows, lambda r: tx.first_group(r, rf'(?is)<td\b[^>]*\browspan\s*=\s*"{span}"[^>]*>(.*?)</td>'))
-    parents = F.filter(F.transform(cells, lambda c: F.try_element_at(h.links(c), F.lit(1))), lambda l: l["href"].rlike(r"id=\d+"))
-    listed = pages.select("page_id", parents.alias("parents"))
+    span = str(2 ** (generations - 1))
+    rows = find(pages.select("page_id", "html"), Search("tr", within=f"table.{table_class}"))
+    wide = F.try_element_at(F.filter("cells", lambda c: c["attributes"]["rowspan"] == span), F.lit(1))
+    linked = rows.select("page_id", "position", F.try_element_at(wide["links"], F.lit(1)).alias("link")).filter(F.col("link.href").rlike(r"id=\d+"))
+    listed = linked.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "link"))).alias("parents"))
     columns = []
     for position, role in enumerate(("sire", "dam"), 1):
-        parent = F.try_element_at(F.col("parents"), F.lit(position))
+        parent = F.try_element_at(F.col("parents.link"), F.lit(position))
         columns += [tx.first_group(parent["href"], r"id=(\d+)").alias(f"{role}_uuid"), parent["text"].alias(f"{role}_name")]
-    return listed.select("page_id", *columns)
+    return pages.select("page_id").join(listed, "page_id", "left").select("page_id", *columns)
+
+
+def _has_class(attributes: Column, token: str) -> Column:
+    return F.array_contains(F.split(F.coalesce(attributes["class"], F.lit("")), r"\s+"), token)
+
+
+def _first_link(position: int) -> Column:
+    return F.try_element_at(F.get("cells", F.lit(position))["links"], F.lit(1))
+
+
+def _cell_text(position: int) -> Column:
+    return F.get("cells", F.lit(position))["text"]
 
 
 def extract_offspring_rows(pages: DataFrame, skip_class: str = "legenda") -> DataFrame:
     """One row per puppy in the table after the offspring heading; rows without link, id or birth date are dropped."""
-    table = tx.first_group(F.col("html"), r"(?is)<h3[^>]*>[^<]*offspring[^<]*</h3>.*?<table[^>]*>(.*?)</table>")
-    rows = F.filter(h.table_rows(table, skip_class), lambda cells: F.size(cells) >= 6)
-    one = pages.select("page_id", F.explode(rows).alias("c"))
-    linked = one.select(
-        "page_id", "c", F.try_element_at(h.links(F.get("c", F.lit(2))), F.lit(1)).alias("link"),
-        F.try_element_at(h.links(F.coalesce(F.get("c", F.lit(9)), F.lit(""))), F.lit(1)).alias("sire"))
-    return linked.select(
-        "page_id", h.node_text(F.get("c", F.lit(0))).alias("registration_number"), tx.first_group(F.col("link.href"), r"id=(\d+)").alias("uuid"),
-        F.col("link.text").alias("registered_name"), F.when(h.attribute(F.get("c", F.lit(3)), "src").contains("sp1"), 1).otherwise(2).alias("sex"),
-        F.coalesce(tx.first_group(F.get("c", F.lit(4)), r'(?is)<img\b[^>]*class="boja"[^>]*\balt="([^"]*)"'), F.lit("")).alias("color"),
-        d.parse_date_dotted(h.node_text(F.get("c", F.lit(5)))).alias("date_of_birth"),
-        F.col("sire.text").alias("sire_name"), tx.first_group(F.col("sire.href"), r"id=(\d+)").alias("sire_uuid"),
+    rows = find(pages.select("page_id", "html"), Search("tr", within="table", after="h3", saying="offspring", skip=skip_class, cells=6))
+    image = F.try_element_at(F.get("cells", F.lit(3))["images"], F.lit(1))
+    color = F.try_element_at(F.filter(F.get("cells", F.lit(4))["images"], lambda i: _has_class(i, "boja")), F.lit(1))
+    link, sire = _first_link(2), _first_link(9)
+    return rows.select(
+        "page_id", _cell_text(0).alias("registration_number"), tx.first_group(link["href"], r"id=(\d+)").alias("uuid"), link["text"].alias("registered_name"),
+        F.when(image["src"].contains("sp1"), 1).otherwise(2).alias("sex"), F.coalesce(color["alt"], F.lit("")).alias("color"),
+        d.parse_date_dotted(_cell_text(5)).alias("date_of_birth"), sire["text"].alias("sire_name"), tx.first_group(sire["href"], r"id=(\d+)").alias("sire_uuid"),
     ).filter("uuid is not null and date_of_birth is not null")
 
 
@@ -116,20 +131,19 @@ def _first_per(rows: DataFrame, key: str) -> DataFrame:
 
 def extract_listing_rows(pages: DataFrame, base_url: str) -> DataFrame:
     """Registry listing: rows of six or more cells with a link, a real name and some birth or parent data; one per link."""
-    table = tx.first_group(F.col("html"), r'(?is)<table[^>]*id="doglist"[^>]*>(.*?)</table>')
-    rows = pages.select("page_id", F.posexplode(h.table_rows(table)).alias("position", "c")).filter("position > 0 and size(c) >= 6")
-    linked = rows.withColumn("link", F.try_element_at(h.links(F.get("c", F.lit(0))), F.lit(1)))
-    fields = linked.select(
-        "page_id", "position", F.col("link.text").alias("name"), tx.absolute_url(F.col("link.href"), base_url).alias("link"),
-        *[h.node_text(F.get("c", F.lit(i))).alias(n) for i, n in [(1, "sex"), (2, "sire"), (3, "dam"), (5, "birth_date")]])
+    rows = find(pages.select("page_id", "html"), Search("tr", within="table#doglist")).filter("position > 0 and size(cells) >= 6")
+    link = _first_link(0)
+    fields = rows.select(
+        "page_id", "position", link["text"].alias("name"), tx.absolute_url(link["href"], base_url).alias("link"),
+        *[_cell_text(i).alias(n) for i, n in [(1, "sex"), (2, "sire"), (3, "dam"), (5, "birth_date")]])
     kept = fields.filter(F.col("link").isNotNull() & ~F.col("name").rlike(NAME_JUNK) & (F.concat("birth_date", "sire", "dam") != ""))
     return _first_per(kept, "link")
 
 
 def extract_listing_rows_wide(pages: DataFrame, skip_class: str = "legenda") -> DataFrame:
     """Wide listing: rows of eleven or more cells, id from the third cell's link, non-empty name; one per id."""
-    rows = pages.select("page_id", F.posexplode(h.table_rows(F.col("html"), skip_class)).alias("position", "c")).filter("size(c) >= 11")
-    link = F.try_element_at(h.links(F.get("c", F.lit(2))), F.lit(1))
+    rows = find(pages.select("page_id", "html"), Search("tr", skip=skip_class, cells=11))
+    link = _first_link(2)
     fields = rows.select("page_id", "position", tx.first_group(link["href"], r"id=(\d+)").alias("dog_id"), link["text"].alias("name"))
     return _first_per(fields.filter("dog_id is not null and name <> ''"), "dog_id")
 
@@ -160,26 +174,23 @@ def extract_listing_cards(pages: DataFrame) -> DataFrame:
 
 def extract_medical_rows(pages: DataFrame) -> DataFrame:
     """Certificate rows: registry, test date, report date, age, conclusion and number."""
-    rows = F.filter(h.table_rows(F.col("html")), lambda cells: F.size(cells) >= 6)
-    one = pages.select("page_id", F.posexplode(rows).alias("position", "c"))
-    text = [h.node_text(F.get("c", F.lit(i))) for i in range(6)]
-    return one.select(
+    rows = find(pages.select("page_id", "html"), Search("tr", cells=6))
+    text = [_cell_text(i) for i in range(6)]
+    return rows.select(
         "page_id", "position", text[0].alias("registry"), d.parse_date_cert(text[1]).alias("test_date"), d.parse_date_cert(text[2]).alias("report_date"),
         num.parse_int(text[3]).alias("age_in_months"), text[4].alias("conclusion"), text[5].alias("ofa_number"))
 
 
 def extract_table_rows(pages: DataFrame, headers: list[str]) -> DataFrame:
     """Rows after the first whose cell count equals the header count, as named columns."""
-    one = pages.select("page_id", F.posexplode(h.table_rows(F.col("html"))).alias("position", "c"))
-    kept = one.filter(f"position > 0 and size(c) = {len(headers)}")
-    return kept.select("page_id", "position", *[h.node_text(F.get("c", F.lit(i))).alias(name) for i, name in enumerate(headers)])
+    kept = find(pages.select("page_id", "html"), Search("tr")).filter(f"position > 0 and size(cells) = {len(headers)}")
+    return kept.select("page_id", "position", *[_cell_text(i).alias(name) for i, name in enumerate(headers)])
 
 
 def section_links(pages: DataFrame, section: str, base_url: str) -> DataFrame:
     """(page_id, position, url, name): every link of a named section, its url absolute."""
-    found = h.links(h.body_with(F.col("html"), "div", "class", section))
-    one = pages.select("page_id", F.posexplode(found).alias("position", "link"))
-    return one.select("page_id", "position", tx.absolute_url(F.col("link.href"), base_url).alias("url"), F.col("link.text").alias("name"))
+    one = find(pages.select("page_id", "html"), Search("a[href]", within=f"div.{section}"))
+    return one.select("page_id", "position", tx.absolute_url(F.col("attributes")["href"], base_url).alias("url"), F.col("text").alias("name"))
 
 
 def extract_section_links(pages: DataFrame, section: str, base_url: str) -> DataFrame:
@@ -190,3 +201,19 @@ def extract_section_links(pages: DataFrame, section: str, base_url: str) -> Data
 def extract_page_links(pages: DataFrame) -> DataFrame:
     """Every anchor of every page: (page_id, position, href, text)."""
     return pages.select("page_id", F.posexplode(h.links(F.col("html"))).alias("position", "link")).select("page_id", "position", "link.href", "link.text")
+
+
+def extract_page_navigation(pages: DataFrame) -> DataFrame:
+    """(page_id, position, href, text) of the links in a page's navigation."""
+    links = find(pages.select("page_id", "html"), Search("a[href]", within="nav"))
+    return links.select("page_id", "position", F.col("attributes")["href"].alias("href"), "text")
+
+
+def extract_page_outline(pages: DataFrame) -> DataFrame:
+    """(page_id, heading, paragraphs, footer): the article's heading, how many paragraphs it has, and the footer's text."""
+    own = pages.select("page_id", "html")
+    articles = find(own, Search("article", parts=(("heading", "h1"),))).filter("position = 0").select("page_id", F.try_element_at("parts", F.lit("heading"))["text"].alias("heading"))
+    paragraphs = find(own, Search("p", within="article")).groupBy("page_id").agg(F.count(F.lit(1)).alias("paragraphs"))
+    footers = find(own, Search("footer")).filter("position = 0").select("page_id", F.col("text").alias("footer"))
+    joined = pages.select("page_id").join(articles, "page_id", "left").join(paragraphs, "page_id", "left").join(footers, "page_id", "left")
+    return joined.select("page_id", "heading", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), "footer")

@@ -112,7 +112,8 @@ def extract_listing_cards(t):
 select dog_id as page_id, 0 as position, registry, cast(make_date(2020, 1, cast(1 + id % 28 as bigint)) as timestamp) as test_date, cast(null as timestamp) as report_date,
   case when id % 10 = 0 then null else age_in_months end as age_in_months, 'NORMAL' as conclusion, ofa_number from medical_record""")
 def extract_medical_rows(t):
-    return ex.extract_medical_rows(t("html_medical"))
+    # Tens of thousands of short pages out of one small file: much work for few bytes.
+    return ex.extract_medical_rows(t("html_medical").repartition(t.spark.sparkContext.defaultParallelism))
 
 
 @query("extract_table_rows", """
@@ -147,6 +148,32 @@ def extract_page_links(t):
     return ex.extract_page_links(t.base("pages")).select("page_id", "position", "href")
 
 
+def decoded(text: str) -> str:
+    """SQL that decodes the entities the raw pages use."""
+    for entity, character in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{character}')"
+    return text
+
+
+NAV = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
+
+
+@query("extract_page_navigation", f"""
+select page_id, cast(n - 1 as int) as position, {decoded('href')} as href, trim({decoded('link_text')}) as text from (
+  select page_id, unnest(regexp_extract_all({NAV}, '<a href="([^"]*)">(.*?)</a>', 1)) as href, unnest(regexp_extract_all({NAV}, '<a href="([^"]*)">(.*?)</a>', 2)) as link_text,
+    unnest(range(1, 1 + len(regexp_extract_all({NAV}, '<a href="([^"]*)">', 1)))) as n from pages) x""")
+def extract_page_navigation(t):
+    return ex.extract_page_navigation(t.base("pages"))
+
+
+@query("extract_page_outline", f"""
+select page_id, trim({decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) as heading,
+  cast((length(html) - length(replace(html, '<p>', ''))) / 3 as bigint) as paragraphs, trim({decoded("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")}) as footer from pages""")
+def extract_page_outline(t):
+    """Untidy pages: paragraphs and bold text left open, missing end tags, named entities."""
+    return ex.extract_page_outline(t.base("pages"))
+
+
 # --- mapping -------------------------------------------------------------------------------------
 
 @query("map_source_a", """
