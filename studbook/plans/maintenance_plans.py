@@ -409,8 +409,9 @@ select r.id, r.uuid, l.status, l.value from registry r left join (
 def stream_listing_upsert(t):
     root = new_folder(t.spark, "listing")
     modified = parse_datetime_listing(F.col("modified_text"))
-    ls.stream_listing(_arrivals(t), root, modified, "pos")
-    latest = ls.current_listing(t.spark, root, modified, "pos")
+    arrivals = _arrivals(t)
+    ls.stream_listing(arrivals, root, modified, "pos")
+    latest = ls.current_listing(t.spark, root, arrivals.schema)
     return ls.upsert_from_listing(t("registry"), latest, ["status", "value"]).select("id", "uuid", "status", "value")
 
 

@@ -8,7 +8,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# State of streams on disk, with logs of changes instead of whole snapshots after each batch.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 SETTINGS = {
+    **STATE_STORE,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

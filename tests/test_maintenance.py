@@ -131,15 +131,33 @@ def test_snapshot_versions(spark):
 
 @pytest.mark.parametrize("files_per_batch", [1, None])
 def test_stream_gives_the_same_table(spark, files_per_batch):
-    data = spark.range(400).selectExpr("cast(id % 37 as string) as uuid", "id as pos", "if(id % 9 = 0, null, id % 50) as at")
+    data = spark.range(400).selectExpr("if(id % 41 = 0, null, cast(id % 37 as string)) as uuid", "id as pos", "if(id % 9 = 0, null, id % 50 - 20) as at", "id / 7.0D as ratio",
+                                       "timestamp_micros(id * 1234567) as seen", "array(id, null) as list")
+    columns = ["uuid", "pos", "at", "ratio", "seen", "list"]
     folder, root = new_folder(spark, "in"), new_folder(spark, "out")
     for part in range(4):
         data.filter(f"pos % 4 = {part}").coalesce(1).write.mode("append").parquet(folder)
     ls.stream_listing(ls.file_stream(spark, folder, data.schema, files_per_batch), root, F.col("at"), "pos")
-    got = rows(ls.current_listing(spark, root, F.col("at"), "pos"), "uuid", "pos", "at")
-    assert got == rows(inc.latest_per_key(data, "uuid", F.col("at"), "pos"), "uuid", "pos", "at")
+    got = rows(ls.current_listing(spark, root, data.schema), *columns)
+    assert got == rows(inc.latest_per_key(data, "uuid", F.col("at"), "pos"), *columns)
+    # Nothing new: the same state, and no batch that changes anything.
+    before = ls.listing_changes(spark, root).count()
     ls.stream_listing(ls.file_stream(spark, folder, data.schema, files_per_batch), root, F.col("at"), "pos")
-    assert rows(ls.current_listing(spark, root, F.col("at"), "pos"), "uuid", "pos", "at") == got
+    assert rows(ls.current_listing(spark, root, data.schema), *columns) == got and ls.listing_changes(spark, root).count() == before
+
+
+def test_a_restarted_stream_goes_on_and_batches_cost_what_they_bring(spark):
+    """Each start takes in one more file; a batch changes the animals it brings later rows of, and nothing else."""
+    folder, root = new_folder(spark, "in"), new_folder(spark, "out")
+    schema = "uuid string, pos bigint, at timestamp, status string"
+    for start in range(4):
+        data = spark.range(30).selectExpr(f"concat('u', id * {start + 1} % 40) as uuid", f"{start} * 1000 + id as pos", f"timestamp_seconds(if(id % 5 = 0, 0, {start} * 100 + id)) as at", f"'s{start}' as status")
+        data.coalesce(1).write.mode("append").parquet(folder)
+        ls.stream_listing(ls.file_stream(spark, folder, schema), root, F.col("at"), "pos")
+        everything = spark.read.schema(schema).parquet(folder)
+        assert rows(ls.current_listing(spark, root, everything.schema), "uuid", "pos", "status") == rows(inc.latest_per_key(everything, "uuid", F.col("at"), "pos"), "uuid", "pos", "status")
+        brought = ls.listing_changes(spark, root).filter(f"status = 's{start}'")
+        assert 0 < brought.count() <= 30 and brought.select("batch").distinct().count() == 1
 
 
 def test_stream_distinct_within_watermark(spark):
