@@ -44,11 +44,11 @@ def last_per_key(batch: DataFrame, keys: list[str], position: str) -> DataFrame:
 
 
 def upsert(
-    table: DataFrame, batch: DataFrame, keys: list[str], update: list[str], null_safe: bool = False, id_column: str = "id"
+    table: DataFrame, batch: DataFrame, keys: list[str], update: list[str], null_safe: bool = False, id_column: str = "id", top: DataFrame | None = None
 ) -> DataFrame:
     """New state of `table`: matched rows take the `update` columns, unmatched batch rows are inserted with new ids.
 
-    `batch` has one row per key. With an empty `update` the call only inserts. A null key matches nothing
+    New ids follow the highest one of `top`, where `table` is only a part of the whole. `batch` has one row per key. With an empty `update` the call only inserts. A null key matches nothing
     unless `null_safe` is set, in which case null equals null.
     """
     def same(left: str, right: str) -> Column:
@@ -63,31 +63,31 @@ def upsert(
     else:
         kept = table
     fresh = b.join(t, same("b", "t"), "left_anti")
-    inserted = assign_ids(fresh, table, _key_text(keys), id_column)
+    inserted = assign_ids(fresh, table if top is None else top, _key_text(keys), id_column)
     columns = [F.col(c) if c in inserted.columns else F.lit(None).cast(kind).alias(c) for c, kind in table.dtypes]
     return kept.unionByName(inserted.select(*columns))
 
 
-def upsert_people(table: DataFrame, batch: DataFrame, update: bool, position: str = "position") -> DataFrame:
+def upsert_people(table: DataFrame, batch: DataFrame, update: bool, position: str = "position", top: DataFrame | None = None) -> DataFrame:
     """People by uuid. One feed updates known people, the others only add new ones (first mention)."""
     others = [c for c in batch.columns if c not in ("uuid", position)]
     pick = F.max_by if update else F.min_by
     one = batch.groupBy("uuid").agg(pick(F.struct(*others), F.col(position)).alias("p")).select("uuid", "p.*")
-    return upsert(table, one, ["uuid"], others if update else [])
+    return upsert(table, one, ["uuid"], others if update else [], top=top)
 
 
-def upsert_titles(table: DataFrame, batch: DataFrame, position: str = "position") -> DataFrame:
+def upsert_titles(table: DataFrame, batch: DataFrame, position: str = "position", top: DataFrame | None = None) -> DataFrame:
     keys = ["dog_id", "short_name", "long_name"]
-    return upsert(table, last_per_key(batch, keys, position), keys, ["has_winner_year", "winner_year"], null_safe=True)
+    return upsert(table, last_per_key(batch, keys, position), keys, ["has_winner_year", "winner_year"], null_safe=True, top=top)
 
 
-def upsert_litters(table: DataFrame, batch: DataFrame, position: str = "position") -> DataFrame:
+def upsert_litters(table: DataFrame, batch: DataFrame, position: str = "position", top: DataFrame | None = None) -> DataFrame:
     keys = ["dam_id", "sire_id", "date_of_birth"]
     update = [c for c in batch.columns if c not in keys and c != position and c in table.columns and c != "id"]
-    return upsert(table, last_per_key(batch, keys, position), keys, update, null_safe=True)
+    return upsert(table, last_per_key(batch, keys, position), keys, update, null_safe=True, top=top)
 
 
-def upsert_medical(table: DataFrame, batch: DataFrame, position: str = "position") -> DataFrame:
+def upsert_medical(table: DataFrame, batch: DataFrame, position: str = "position", top: DataFrame | None = None) -> DataFrame:
     """Health records by animal and certificate number; a null number equals a null number, the batch's last row wins.
 
     Where the table already holds a key more than once, only its lowest id is updated.
@@ -101,7 +101,7 @@ def upsert_medical(table: DataFrame, batch: DataFrame, position: str = "position
     placed = a.join(b, on, "left").select("a.*", "b._target")
     hits = placed.filter("_target is not null").select(F.col("_target").alias("id"), *[F.col(c).alias(f"_new_{c}") for c in update], F.lit(True).alias("_hit"))
     kept = table.join(hits, "id", "left").withColumns({c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in update})
-    fresh = assign_ids(placed.filter("_target is null").drop("_target"), table, _key_text(keys))
+    fresh = assign_ids(placed.filter("_target is null").drop("_target"), table if top is None else top, _key_text(keys))
     columns = [F.col(c) if c in fresh.columns else F.lit(None).cast(kind).alias(c) for c, kind in table.dtypes]
     return kept.select(*table.columns).unionByName(fresh.select(*columns))
 

@@ -11,6 +11,7 @@ from ..functions.rows import stack_rows
 from ..operators import incremental as inc, ingest as ing, matching as mat, upsert as up
 from ..session import new_folder, settle
 from ..sources import feeds, schema as sc, sinks
+from ..sources.bucketed import BucketedTable
 from ..streaming import listing as ls
 from . import query
 from .resolve_plans import CASCADE, fill_sql
@@ -163,11 +164,14 @@ union all select dam_id, sire_id, date_of_birth + 1000, 1, 2, id from litter whe
 union all select dam_id, cast(null as bigint), date_of_birth, 3, 4, id from litter where id % 5 = 0"""
 
 
-@query("upsert_litters", f"""
+ORACLE_LITTERS = f"""
 select l.dam_id, l.sire_id, l.date_of_birth, coalesce(b.male_count, l.male_count) as male_count, coalesce(b.female_count, l.female_count) as female_count
 from litter l left join ({LITTER_BATCH}) b on b.dam_id = l.dam_id and b.sire_id = l.sire_id and b.date_of_birth = l.date_of_birth
 union all select dam_id, sire_id, date_of_birth, arg_max(male_count, position), arg_max(female_count, position) from ({LITTER_BATCH}) b
-where not exists (select 1 from litter l where l.dam_id = b.dam_id and l.sire_id = b.sire_id and l.date_of_birth = b.date_of_birth) group by 1, 2, 3""")
+where not exists (select 1 from litter l where l.dam_id = b.dam_id and l.sire_id = b.sire_id and l.date_of_birth = b.date_of_birth) group by 1, 2, 3"""
+
+
+@query("upsert_litters", ORACLE_LITTERS)
 def upsert_litters(t):
     return up.upsert_litters(t("litter"), t.sql(LITTER_BATCH)).select("dam_id", "sire_id", "date_of_birth", "male_count", "female_count")
 
@@ -177,7 +181,7 @@ select dog_id, case when id % 7 = 0 then null else ofa_number end as ofa_number,
 union all select dog_id + 1, concat(ofa_number, 'x'), registry, age_in_months, id + 1000000000 from medical_record where id % 10 = 0"""
 
 
-@query("upsert_medical", f"""
+ORACLE_MEDICAL = f"""
 select m.id, m.dog_id, m.ofa_number, coalesce(b.registry, m.registry) as registry, coalesce(b.age_in_months, m.age_in_months) as age_in_months
 from medical_record m left join (select dog_id, ofa_number, min(id) as id from medical_record group by 1, 2) f on f.id = m.id
 left join (select dog_id, ofa_number, arg_max(registry, position) as registry, arg_max(age_in_months, position) as age_in_months from ({MEDICAL_BATCH}) x group by 1, 2) b
@@ -185,11 +189,34 @@ left join (select dog_id, ofa_number, arg_max(registry, position) as registry, a
 union all select (select max(id) from medical_record) + row_number() over (order by md5(concat(cast(length(cast(dog_id as string)) as string), ':', cast(dog_id as string), '|',
     case when ofa_number is null then '-' else concat(cast(length(ofa_number) as string), ':', ofa_number) end))), dog_id, ofa_number, registry, age_in_months from (
   select dog_id, ofa_number, arg_max(registry, position) as registry, arg_max(age_in_months, position) as age_in_months from ({MEDICAL_BATCH}) x group by 1, 2) b
-where not exists (select 1 from medical_record m where m.dog_id = b.dog_id and m.ofa_number is not distinct from b.ofa_number)""")
+where not exists (select 1 from medical_record m where m.dog_id = b.dog_id and m.ofa_number is not distinct from b.ofa_number)"""
+
+
+@query("upsert_medical", ORACLE_MEDICAL)
 def upsert_medical(t):
     return up.upsert_medical(t("medical_record"), t.sql(MEDICAL_BATCH)).select("id", "dog_id", "ofa_number", "registry", "age_in_months")
 
 
+def _bucketed(t, name, table, keys, batch, run, columns):
+    stored = BucketedTable(t.spark, new_folder(t.spark, name), keys, buckets=16)
+    stored.create(table)
+    stored.apply(settle(batch), run)
+    return stored.read().select(*columns)
+
+
+@query("upsert_medical_buckets", ORACLE_MEDICAL)
+def upsert_medical_buckets(t):
+    """The same batch against a table stored by buckets of its key."""
+    return _bucketed(t, "medical", t("medical_record"), ("dog_id", "ofa_number"), t.sql(MEDICAL_BATCH), lambda rows, batch, top: up.upsert_medical(rows, batch, top=top),
+                     ["id", "dog_id", "ofa_number", "registry", "age_in_months"])
+
+
+@query("upsert_litters_buckets", ORACLE_LITTERS)
+def upsert_litters_buckets(t):
+    return _bucketed(t, "litters", t("litter"), ("dam_id", "sire_id", "date_of_birth"), t.sql(LITTER_BATCH), lambda rows, batch, top: up.upsert_litters(rows, batch, top=top),
+                     ["dam_id", "sire_id", "date_of_birth", "male_count", "female_count"])
+
+
 @query("upsert_registry", f"""
 select r.id, r.uuid, {fill_sql('registered_name')}, {fill_sql('weight', True)}, {fill_sql('color')} from registry_named r
 union all select (select max(id) from registry_named) + row_number() over (order by md5(uuid)), uuid, registered_name, weight, color from incoming
