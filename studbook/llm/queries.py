@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bagminhash, dimscan, lengths, packing, passages, prefixtrie, secrets, sketch, suffix, toxicity, turnrepair, warc, winnow
+from . import bagminhash, conversation_sql, dimscan, lengths, packing, passages, prefixtrie, secrets, sketch, suffix, toxicity, turnrepair, warc, winnow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -107,4 +107,4 @@ def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {run.__name__: run for run in [op1_toxicity, op2_suffix_dedup, op3_warc_revisits, op4_token_counts, op5_near_passages, op6_secret_scan, op7_packing, op8_decontamination, op9_fingerprints, op10_near_duplicates, op11_adaptive_scan, op12_prefix_trie, op13_structure_repair]}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_prefix_trie": conversation_sql.TRIE, "op13_structure_repair": conversation_sql.REPAIR}

@@ -80,3 +80,11 @@ def test_dropped_conversations_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, 1, "user", "a.", False), (1, 2, "user", "b.", False), (2, 1, "user", "a.", True)], TURNS)
     assert found(turnrepair.repaired(rows)) == [(1, 0, 0, 0, 0, 0, 0, "", empty), *expected({2: [(1, "user", "a.")]})]
     assert found(turnrepair.repaired(spark.createDataFrame([], TURNS))) == []
+
+
+def test_sql_gives_the_same(spark):
+    import duckdb
+    from studbook.llm.conversation_sql import REPAIR
+    connection = duckdb.connect()
+    connection.sql(f"create view conversations as select * from '{SMALL}/conversations.parquet'")
+    assert sorted(connection.sql(REPAIR).fetchall(), key=repr) == found(queries.op13_structure_repair(spark, SMALL))

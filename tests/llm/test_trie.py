@@ -69,3 +69,11 @@ def test_nulls_ties_repeats_and_other_columns(spark):
     got = prefixtrie.trie(prefixtrie.with_shared_heads(turns, *heads, most=3))
     # Ties of one turn go by role, then by digest; here equal turns differ by role or are equal rows.
     assert found(got) == expected(rebuilt(rows))
+
+
+def test_sql_gives_the_same(spark):
+    import duckdb
+    from studbook.llm.conversation_sql import TRIE
+    connection = duckdb.connect()
+    connection.sql(f"create view conversations as select * from '{SMALL}/conversations.parquet'")
+    assert sorted(connection.sql(TRIE).fetchall(), key=repr) == found(queries.op12_prefix_trie(spark, SMALL))
