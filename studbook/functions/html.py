@@ -44,15 +44,6 @@ def links(c: Column) -> Column:
     return F.transform(zipped, lambda z: F.struct(z["href"].alias("href"), node_text(z["body"]).alias("text")))
 
 
-def table_rows(c: Column, skip_class: str | None = None) -> Column:
-    """Array of cell arrays, one per table row, without rows of class `skip_class`."""
-    pattern = r"(?is)<tr\b([^>]*)>(.*?)</tr>"
-    rows = F.arrays_zip(all_groups(c, pattern, 1).alias("head"), all_groups(c, pattern, 2).alias("body"))
-    if skip_class:
-        rows = F.filter(rows, lambda r: ~r["head"].contains(skip_class))
-    return F.transform(rows, lambda r: bodies(r["body"], "td"))
-
-
 def last_wins(entries: Column) -> Column:
     """Map from (key, value) structs; of a repeated key the last entry stays."""
     n = F.size(entries)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -157,8 +158,8 @@ class Search:
     """What to look for: every `each` inside the first `within` (after the first `after` whose text contains `saying`),
     but those of the class `skip` and rows with fewer than `cells` cells; positions count what is left.
 
-    `parts` names things inside an element, the first of each selector; a selector that begins with `+` is the next
-    sibling of the element instead.
+    `parts` names things inside an element, the first of each selector; `a >> b@2` is the third b inside the first a, and a
+    selector that begins with `+` is the next sibling of the element instead.
     """
 
     each: str
@@ -185,8 +186,14 @@ class Search:
             siblings = element.parent.children
             at = next(i for i, e in enumerate(siblings) if e is element) + 1
             return siblings[at] if at < len(siblings) and selector(written[1:]).meets(siblings[at]) else None
-        wanted = selector(written)
-        return next((e for e in page.within(element) if wanted.meets(e)), None)
+        found: Element | None = element
+        for step in written.split(" >> "):
+            name, _, number = step.partition("@")
+            matching = (e for e in page.within(found) if selector(name).meets(e))
+            found = next(islice(matching, int(number or 0), None), None)
+            if found is None:
+                return None
+        return found
 
 
 def _cell(page: Page, element: Element) -> dict:

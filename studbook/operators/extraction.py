@@ -148,27 +148,28 @@ def extract_listing_rows_wide(pages: DataFrame, skip_class: str = "legenda") ->
     return _first_per(fields.filter("dog_id is not null and name <> ''"), "dog_id")
 
 
+CARDS = Search("div.itemBox", parts=(
+    ("photo", "a.profilePhoto"), ("registered_name", "span[data-bind*=text: registered_name]"), ("prefix_titles", "span.prefixTitles"), ("suffix_titles", "span.suffixTitles"),
+    ("male", ".icon-male"), ("female", ".icon-female"), ("sire_name", "div.italic >> span@0"), ("dam_name", "div.italic >> span@2"), ("color", "span[data-bind*=text: color]"),
+    ("land_of_birth", "span[data-bind*=text: land_of_birth]"), ("year_of_birth", "span[data-bind*=year_of_birth]"), ("modified_at", "span.dateModified"), ("ribbon", ".ribbon")))
+
+
 def extract_listing_cards(pages: DataFrame) -> DataFrame:
     """Card listing, one row per card; cards without an identifier in their link are dropped."""
-    cards = F.filter(F.split("html", '(?=<div class="itemBox)'), lambda x: x.contains("itemBox"))
-    one = pages.select("page_id", F.posexplode(cards).alias("position", "card"))
-    card = F.col("card")
+    one = find(pages.select("page_id", "html"), CARDS)
+
+    def part(name: str) -> Column:
+        return F.try_element_at("parts", F.lit(name))
 
-    def span(binding: str) -> Column:
-        return tx.first_group(card, rf'(?is)<span[^>]*{binding}[^>]*>(.*?)</span>')
+    def text(name: str) -> Column:
+        return part(name)["text"]
 
-    href = h.attribute(tx.first_group(card, r'(?is)(<a\b[^>]*class="profilePhoto"[^>]*>)'), "href")
-    parents = h.bodies(h.body_with(card, "div", "class", "italic"), "span")
-    paired = F.size(parents) >= 3
+    href, paired = part("photo")["attributes"]["href"], part("dam_name").isNotNull()
     fields = one.select(
-        "page_id", "position", tx.path_uuid(href).alias("uuid"), tx.path_slug(href).alias("link_name"),
-        span("text: registered_name").alias("registered_name"), span('class="prefixTitles"').alias("prefix_titles"),
-        span('class="suffixTitles"').alias("suffix_titles"),
-        F.when(card.contains("icon-male"), 1).when(card.contains("icon-female"), 2).alias("sex"),
-        F.when(paired, F.get(parents, F.lit(0))).alias("sire_name"), F.when(paired, F.get(parents, F.lit(2))).alias("dam_name"),
-        span("text: color").alias("color"), span("text: land_of_birth").alias("land_of_birth"),
-        tx.extract_year(span("year_of_birth")).alias("year_of_birth"), span('class="dateModified"').alias("modified_at"),
-        F.contains(card, F.lit('class="ribbon"')).alias("is_new"))
+        "page_id", "position", tx.path_uuid(href).alias("uuid"), tx.path_slug(href).alias("link_name"), *[text(c).alias(c) for c in ("registered_name", "prefix_titles", "suffix_titles")],
+        F.when(part("male").isNotNull(), 1).when(part("female").isNotNull(), 2).alias("sex"), F.when(paired, text("sire_name")).alias("sire_name"), text("dam_name").alias("dam_name"),
+        text("color").alias("color"), text("land_of_birth").alias("land_of_birth"), tx.extract_year(text("year_of_birth")).alias("year_of_birth"), text("modified_at").alias("modified_at"),
+        part("ribbon").isNotNull().alias("is_new"))
     return fields.filter("uuid is not null")
 
 

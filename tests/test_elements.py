@@ -60,6 +60,15 @@ def test_rows_keep_to_their_own_table(spark):
     assert (pup.uuid, pup.registered_name, pup.sex, pup.color, pup.date_of_birth.year) == ("7", "Pup", 1, "red", 2003)
 
 
+def test_cards_with_untidy_parts(spark):
+    uuid = "0123abcd-0123-0123-0123-0123456789ab"
+    html = (f"<div class='itemBox first'><a href='/animal/view/rex-{uuid}' class='big profilePhoto'><img src=x></a><span data-bind='text: registered_name, visible: 1'>Rex <b>II</b></span><i class='icon icon-female'></i>"
+            "<div class=italic><span>Sire &amp; Co</span><span>x</span><span>Dam</span></div><span data-bind=year_of_birth>b. 2019</span><div class='x ribbon'>new</div></div><div class=itemBox><a class=profilePhoto href=/none></a></div>")
+    card = ex.extract_listing_cards(pages(spark, html)).collect()
+    assert [(r.position, r.uuid, r.link_name, r.registered_name, r.sex, r.sire_name, r.dam_name, r.color, r.year_of_birth, r.is_new) for r in card] == [
+        (0, uuid, "rex", "RexII", 2, "Sire & Co", "Dam", None, 2019, True)]
+
+
 def test_other_columns_and_repeated_pages_stay(spark):
     frame = spark.createDataFrame([(1, "<p>a<p>b", 5), (1, "<p>a<p>b", 5), (2, None, 6), (3, "x", 7)], "page_id bigint, html string, score int")
     assert sorted((r.page_id, r.score, r.position, r.text) for r in find(frame, Search("p")).collect()) == [(1, 5, 0, "a")] * 2 + [(1, 5, 1, "b")] * 2
