@@ -363,6 +363,23 @@ def inbreeding(dogs: DataFrame, generations: int = 10, ids: DataFrame | None = N
     return inbreeding_from(side_paths(dogs, generations, ids), dogs, roots)
 
 
+def touched_by(dogs: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id): the changed animals and all their descendants, walked down the reversed parent edges.
+
+    `dogs` is the table after the change. An animal whose old ancestry held a changed one is among them as well: on its way
+    up to the nearest changed animal no edge has changed. A first path may be longer than the generation bound, so the walk
+    has no bound. Each round joins the animals just reached with the edges, three columns wide.
+    """
+    links = settle(parent_edges(dogs).select(F.col("parent").alias("url"), F.col("child").alias("link")))
+    seeds = dogs.select("id").join(changed.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("url"))
+    return crawl_frontier(links, seeds, 1 << 30).select(F.col("url").alias("id"))
+
+
+def inbreeding_after_changes(dogs: DataFrame, changed: DataFrame, generations: int = 10) -> DataFrame:
+    """Coefficients of the animals that changes of parents, or of stored coefficients, can have altered; all others keep theirs."""
+    return inbreeding(dogs, generations, touched_by(dogs, changed))
+
+
 def inbreeding_details(paths: DataFrame, dogs: DataFrame) -> DataFrame:
     """Contribution rows with both paths as id lists, from the parent to the ancestor.
 

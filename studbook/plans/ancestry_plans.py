@@ -170,6 +170,18 @@ def inbreeding_writeback(t):
     return new.select("id", F.round("coi", 12).alias("coi"), "coi_updated_on")
 
 
+@query("inbreeding_after_changes", f"select * from ({TOTALS}) x where root in (select id from touched)", {
+    "changed": "select id, dam_id, case when id % 97 <> 0 then sire_id when sire_id > 2 then sire_id - 2 end as sire_id from registry",
+    **reach(4), "edge": EDGES.replace("registry", "changed"),
+    "touched": "select id from registry where id % 97 = 0 union select e.child from touched t join edge e on e.parent = t.id"}, recursive=True)
+def inbreeding_after_changes(t):
+    """Every 97th animal gets another sire, or none; only it and its descendants are computed again."""
+    hit = F.col("id") % 97 == 0
+    dogs = t.stored("registry_ext")
+    edited = settle(dogs.withColumn("sire_id", F.when(~hit, F.col("sire_id")).when(F.col("sire_id") > 2, F.col("sire_id") - 2)))
+    return anc.inbreeding_after_changes(edited, edited.where(hit), 4).withColumn("coi", F.round("coi", 12))
+
+
 @query("inbreeding_read", """
 select id, registered_name, coi, round(nullif(coi, 0) * 100, 6) as coi_percentage, coi is not null as has_coi from registry_ext""")
 def inbreeding_read(t):

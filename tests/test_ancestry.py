@@ -127,3 +127,31 @@ def test_node_labels(spark):
     frame = spark.createDataFrame([(1, None, 1, None, None, None)], "id bigint, registered_name string, sex int, date_of_birth date, sire_id bigint, dam_id bigint")
     nodes, edges = anc.lineage_graph(frame, 3)
     assert nodes.select(F.col("label")).first()[0] == "\nID: 1\nSex: M\nBorn: " and edges.count() == 0
+
+
+def test_recomputing_after_changes_equals_a_full_run(spark):
+    """Random parents, random edits, circles included: what is not touched keeps its value."""
+    rng = random.Random(12)
+    parents = {i: (rng.choice([None, *range(1, i)][:40]) if i > 1 else None, rng.choice([None, *range(1, i)][-12:]) if i > 2 else None) for i in range(1, 70)}
+    edited = dict(parents)
+    changed = sorted(rng.sample(range(5, 70), 4))
+    for i in changed:
+        edited[i] = (rng.randrange(1, 70), rng.choice([None, rng.randrange(1, i)]))
+
+    def table(rows):
+        return spark.createDataFrame([(i, f"n{i}", s, d, 0.01 * (i % 3)) for i, (s, d) in rows.items()], "id bigint, registered_name string, sire_id bigint, dam_id bigint, coi double")
+
+    def values(frame):
+        return {r.root: (round(r.coi, 12), r.common_ancestors) for r in frame.collect()}
+
+    before, after = table(parents), table(edited)
+    ids = spark.createDataFrame([(i,) for i in [*changed, 1000]], "id bigint")
+    some = values(anc.inbreeding_after_changes(after, ids, 4))
+    below, open_ids = set(changed), list(changed)
+    while open_ids:
+        at = open_ids.pop()
+        for child in [i for i, pair in edited.items() if at in pair and i not in below]:
+            below.add(child)
+            open_ids.append(child)
+    assert set(some) == below
+    assert values(anc.inbreeding(before, 4)) | some == values(anc.inbreeding(after, 4))
