@@ -3,7 +3,7 @@
 import __spark_entry__ as driver
 import pytest
 from small_tables import SMALL
-from studbook.operators import ancestry as anc, search
+from studbook.operators import ancestry as anc, search, similar_names
 from studbook.session import new_folder
 from studbook.sources.derived import Tables
 
@@ -44,3 +44,11 @@ def test_no_pairwise_joins(spark, key):
     text = plan(driver.queries()[key](spark, SMALL))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text or key == "upsert_medical"
+
+
+def test_similar_names_are_joined_on_keys(spark, stored):
+    """The plan behind the settled pairs of names: equal keys and cells, the distance as a condition of that join."""
+    names = stored.selectExpr("lower(registered_name) as name").distinct()
+    text = plan(similar_names.similar_pairs(names, names, 0.8))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert any("levenshtein" in line and "key" in line for line in text.splitlines() if "Join" in line)
