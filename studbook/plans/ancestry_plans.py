@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ancestry as anc, relations as rel
+from ..operators import ancestry as anc, pedigrees as ped, relations as rel
 from ..session import settle
 from . import query
 
@@ -64,6 +64,9 @@ select x.dog_id, x.relation, x.related_id, x.label from (
   union all select l.dog_id, 'breeder', o.id, o.name from dog_breeder l join breeder o on o.id = l.breeder_id
   union all select dam_id, 'litter_as_dam', id, cast(date_of_birth as string) from litter
   union all select sire_id, 'litter_as_sire', id, cast(date_of_birth as string) from litter
+  union all select l.dog_id, 'sibling', o.id, o.registered_name from sibling_link l join registry o on o.id = l.sibling_id
+  union all select r.id, 'birth_litter', l.id, cast(l.date_of_birth as string) from registry r join litter l
+    on l.dam_id = r.dam_id and l.sire_id = r.sire_id and l.date_of_birth = r.date_of_birth
 ) x where x.dog_id in (select distinct node from walk where root in (select rec_id from incoming))""", walk(GENERATIONS), recursive=True)
 def lineage_tree_detailed(t):
     """Relations of every animal that appears in any tree, once per animal; trees and relations join on the animal."""
@@ -75,10 +78,63 @@ def lineage_tree_detailed(t):
         rel.join_people(animals, t("dog_breeder"), t("breeder"), "breeder_id"),
         t("sibling_link"), t("title"), t("medical_record"), t("litter"), t("merge_log"),
     )
-    kinds = ["title", "owner", "breeder", "litter_as_dam", "litter_as_sire"]
+    kinds = ["title", "owner", "breeder", "litter_as_dam", "litter_as_sire", "sibling", "birth_litter"]
     return profile.filter(F.col("relation").isin(kinds)).select("dog_id", "relation", "related_id", "label")
 
 
+RELATED = """
+select dog_id, 'title' as relation, id as related_id, short_name as label from title
+union select l.dog_id, 'owner', o.id, o.name from dog_owner l join owner o on o.id = l.owner_id
+union select l.dog_id, 'breeder', o.id, o.name from dog_breeder l join breeder o on o.id = l.breeder_id
+union select l.dog_id, 'sibling', o.id, o.registered_name from sibling_link l join registry o on o.id = l.sibling_id
+union select dam_id, 'litter_as_dam', id, cast(date_of_birth as string) from litter
+union select sire_id, 'litter_as_sire', id, cast(date_of_birth as string) from litter
+union select r.id, 'birth_litter', l.id, cast(l.date_of_birth as string) from registry r join litter l
+  on l.dam_id = r.dam_id and l.sire_id = r.sire_id and l.date_of_birth = r.date_of_birth"""
+
+
+def _documents(t):
+    """Documents of every incoming record's animal, and the parts of all relations in them."""
+    dogs = t.stored("registry")
+    roots = settle(t("incoming").select(F.col("rec_id").alias("id")))
+    animals = settle(dogs.join(anc.lineage_members(dogs, GENERATIONS, roots), "id", "left_semi"))
+    profile = rel.entity_profile(
+        animals, dogs, rel.join_people(animals, t("dog_owner"), t("owner"), "owner_id"),
+        rel.join_people(animals, t("dog_breeder"), t("breeder"), "breeder_id"),
+        t("sibling_link"), t("title"), t("medical_record"), t("litter"), t("merge_log"),
+    )
+    # The documents carry what a pedigree loads with each animal; parents are documents themselves.
+    loaded = profile.where(~F.col("relation").isin("sire", "dam", "medical_record", "merge_log"))
+    parts = settle(ped.relation_parts(loaded))
+    return ped.pedigree_documents(dogs, parts, GENERATIONS, roots), parts
+
+
+@query("lineage_documents", """
+select w.root, w.path, w.gen, w.node, r.uuid, r.registered_name, r.call_name, r.sex, r.color, r.date_of_birth,
+  cast(coalesce(c.n, 0) as bigint) as n_relations
+from walk w join registry r on r.id = w.node left join (select dog_id, count(*) as n from related group by dog_id) c on c.dog_id = w.node
+where w.root in (select rec_id from incoming)""", walk(GENERATIONS) | {"related": RELATED}, recursive=True)
+def lineage_documents(t):
+    """One row for each place of each nested document, with the number of relations that stand there."""
+    documents, parts = _documents(t)
+    rows = ped.pedigree_rows(documents, GENERATIONS)
+    beyond = parts.where("part > 0").groupBy(F.col("dog_id").alias("node")).agg(F.sum(F.size("relations")).alias("more"))
+    count = (F.size("relations") + F.coalesce("more", F.lit(0))).cast("bigint")
+    return rows.join(beyond, "node", "left").select("root", "path", "gen", "node", *ped.FACTS, count.alias("n_relations"))
+
+
+@query("lineage_document_relations", """
+select w.root, w.path, x.relation, count(*) as n_rows, cast(sum(x.related_id) as bigint) as sum_ids, min(x.label) as first_label, max(x.label) as last_label
+from walk w join related x on x.dog_id = w.node where w.root in (select rec_id from incoming) group by w.root, w.path, x.relation""",
+       walk(GENERATIONS) | {"related": RELATED}, recursive=True)
+def lineage_document_relations(t):
+    """The relations in the nested documents by root, path and kind."""
+    documents, parts = _documents(t)
+    flat = ped.pedigree_relations(ped.pedigree_rows(documents, GENERATIONS), parts)
+    return flat.groupBy("root", "path", "relation").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("related_id").alias("sum_ids"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
+
+
 @query("lineage_list", """
 select w.root, w.node, w.gen, replace(replace(array_to_string(string_split(w.path, ''), '.'), 'S', 'sire'), 'D', 'dam') as position,
   translate(w.path, 'DS', '01') as preorder from walk w""", walk(GENERATIONS), recursive=True)
