@@ -1,9 +1,13 @@
 """Benchmark decontamination by winnowing.
 
 Of the hashes of all k-word grams, the least one of each window of width - k + 1 grams is kept on both sides. Two texts that
-share `width` words in a row share such a window and therefore a kept hash, so looking up the kept hashes of a document
-among those of the items finds every shared span; each hit is then extended to both sides as far as the words agree.
-Items shorter than `width` words are looked up whole.
+share `width` words in a row share such a window and therefore a kept hash, so only windows of a document around a kept hash
+that some item keeps too can occur in an item. These are looked up among the windows of the items; neighbouring and
+overlapping hits extend each other to the shared span. Items shorter than `width` words are windows themselves.
+
+Each place of a document is looked up once, whatever the ties: periodic texts and items cost what others do. A window names the
+list of items that hold it, each list is held once, and a document unfolds each of its lists once, so repeated windows and
+copies of items don't multiply.
 
 Items are taken in blocks of at most BLOCK_BYTES of text. Each block's fingerprints go to the executors once, so the size
 of what is sent is bounded however many items there are; with several blocks their spans are merged by document.
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .columns import grams, ragged, slices, words
+from .columns import grams, mix, ragged, slices, words
 
 GRAM = 5
 BLOCK_BYTES = 16 << 20
@@ -39,16 +43,36 @@ def kept(hashes: np.ndarray, window: int) -> np.ndarray:
     return most == hashes
 
 
+@dataclass
+class Windows:
+    """Distinct window hashes of one size in order, the list of items of each, and the lists one after the other."""
+
+    hashes: np.ndarray
+    lists: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+
+
 @dataclass
 class Index:
-    """Word hashes of the items of a block, their kept fingerprints in order with the places, and the short items."""
+    """The items of a block: their ids, their kept fingerprints in order, and their windows by size."""
 
-    words: np.ndarray
-    owner: np.ndarray
     item_ids: list[str]
     prints: np.ndarray
-    places: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]
+    windows: dict[int, Windows]
+
+
+def _by_window(hashes: np.ndarray, items: np.ndarray) -> Windows:
+    order = np.lexsort((items, hashes))
+    hashes, items = hashes[order], items[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])
+    hashes, items = hashes[fresh], items[fresh]
+    distinct, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+    # Windows held by the same items share one list, told by the sum of the items' scrambled numbers.
+    names = np.add.reduceat(mix(items.astype(np.uint64) + np.uint64(1)), first) if len(first) else np.zeros(0, np.uint64)
+    _, sample, lists = np.unique(names, return_index=True, return_inverse=True)
+    return Windows(distinct, lists, np.concatenate(([0], np.cumsum(counts[sample]))), items[ragged(first[sample], counts[sample])])
 
 
 def build_index(item_ids: list[str], texts: list[str | None], width: int, gram: int) -> Index:
@@ -57,56 +81,54 @@ def build_index(item_ids: list[str], texts: list[str | None], width: int, gram:
     hashes, inside = grams(found, gram)
     owner = found.text_of()
     hashes = np.where(inside, hashes, np.iinfo(np.uint64).max)
-    places = np.flatnonzero(kept(hashes, width - gram + 1) & inside & (sizes[owner] >= width)) if len(owner) else np.zeros(0, np.int64)
-    places = places[np.argsort(hashes[places], kind="stable")]
-    short = {}
-    for size in sorted(set(sizes[(sizes > 0) & (sizes < width)].tolist())):
-        items = np.flatnonzero(sizes == size)
-        keys = grams(found, size)[0][found.first[items]]
-        order = np.argsort(keys, kind="stable")
-        short[size] = keys[order], items[order]
-    return Index(found.hashes, owner, item_ids, hashes[places], places, short)
-
-
-def _matches(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key that occurs: its own position, and the position of each equal sorted key."""
-    low, high = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-    return np.repeat(np.arange(len(keys)), high - low), ragged(low, high - low)
-
-
-def _extend(left: np.ndarray, right: np.ndarray, left_text: np.ndarray, right_text: np.ndarray, at: np.ndarray, to: np.ndarray, step: int) -> np.ndarray:
-    """How many further words agree from each pair of places on, in one direction, inside both texts."""
-    grown, live = np.zeros(len(at), np.int64), np.arange(len(at))
-    while len(live):
-        a, b = at[live] + step * (grown[live] + 1), to[live] + step * (grown[live] + 1)
-        good = (a >= 0) & (b >= 0) & (a < len(left)) & (b < len(right))
-        live, a, b = live[good], a[good], b[good]
-        good = (left[a] == right[b]) & (left_text[a] == left_text[at[live]]) & (right_text[b] == right_text[to[live]])
-        live = live[good]
-        grown[live] += 1
-    return grown
-
-
-def find_spans(column: pa.Array, index: Index, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text, and for each hit its text, first word, last word (within the text) and item."""
-    found = words(column)
-    text_of = found.text_of()
-    hashes, inside = grams(found, gram)
+    prints = np.unique(hashes[kept(hashes, width - gram + 1) & inside & (sizes[owner] >= width)]) if len(owner) else hashes
+    windows = {}
+    for size in sorted(set(np.minimum(sizes[sizes > 0], width).tolist())):
+        hashes, inside = grams(found, size)
+        places = np.flatnonzero(inside & (np.minimum(sizes[owner], width) == size))
+        windows[size] = _by_window(hashes[places], owner[places])
+    return Index(item_ids, prints, windows)
+
+
+def _find(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key among ordered distinct ones, -1 where it is none of them."""
+    if not len(ordered):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+    return np.where(ordered[at] == keys, at, -1)
+
+
+def _near_prints(hashes: np.ndarray, inside: np.ndarray, index: Index, width: int, gram: int) -> np.ndarray:
+    """Whether the window of `width` words at each place holds a kept gram that an item keeps too."""
     hashes = np.where(inside, hashes, np.iinfo(np.uint64).max)
     places = np.flatnonzero(kept(hashes, width - gram + 1) & inside)
-    hit, at = _matches(index.prints, hashes[places])
-    here, there = places[hit], index.places[at]
-    back = _extend(found.hashes, index.words, text_of, index.owner, here, there, -1)
-    on = _extend(found.hashes, index.words, text_of, index.owner, here, there, 1)
-    long = back + on + 1 >= width
-    first, last, item = here[long] - back[long], here[long] + on[long], index.owner[there[long]]
-    for size, (keys, items) in index.short.items():
+    places = places[_find(index.prints, hashes[places]) >= 0]
+    change = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(change, np.maximum(places - (width - gram), 0), 1)
+    np.add.at(change, places + 1, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def find_spans(column: pa.Array, index: Index, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text; text, first and last word (within the text) of each window that occurs; and distinct pairs of text and item."""
+    found = words(column)
+    text_of = found.text_of()
+    first, last, pairs = [], [], []
+    for size, windows in index.windows.items():
         hashes, inside = grams(found, size)
-        spots = np.flatnonzero(inside)
-        hit, at = _matches(keys, hashes[spots])
-        first, last, item = np.append(first, spots[hit]), np.append(last, spots[hit] + size - 1), np.append(item, items[at])
-    text = text_of[first] if len(first) else np.zeros(0, np.int64)
-    return np.diff(found.first), text, first - found.first[text], last - found.first[text], item
+        spots = np.flatnonzero(inside & _near_prints(*grams(found, gram), index, width, gram) if size == width else inside)
+        at = _find(windows.hashes, hashes[spots])
+        spots, at = spots[at >= 0], at[at >= 0]
+        first.append(spots)
+        last.append(spots + size - 1)
+        lists = np.unique(np.stack([text_of[spots], windows.lists[at]]), axis=1)
+        counts = np.diff(windows.first)[lists[1]]
+        pairs.append(np.unique(np.stack([np.repeat(lists[0], counts), windows.items[ragged(windows.first[lists[1]], counts)]]), axis=1))
+    none = np.zeros(0, np.int64)
+    first, last = np.concatenate([none, *first]), np.concatenate([none, *last])
+    pairs = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+    text = text_of[first]
+    return np.diff(found.first), text, first - found.first[text], last - found.first[text], pairs[0], pairs[1]
 
 
 def _nested(counts: np.ndarray, values: pa.Array) -> pa.Array:
@@ -177,7 +199,7 @@ def _one_block(docs: DataFrame, shared, width: int, gram: int) -> DataFrame:
     def search(batches):
         index = shared.value
         for batch in slices(batches, "text"):
-            sizes, text, first, last, item = find_spans(batch.column(1), index, width, gram)
+            sizes, text, first, last, held_by, item = find_spans(batch.column(1), index, width, gram)
             count = batch.num_rows
             order = np.lexsort((first, text))
             t, a, b = text[order], first[order], last[order]
@@ -189,7 +211,7 @@ def _one_block(docs: DataFrame, shared, width: int, gram: int) -> DataFrame:
             heads = np.flatnonzero(fresh)
             tails = np.append(heads[1:], len(a)) - 1 if len(heads) else heads
             spans = pa.StructArray.from_arrays([pa.array(a[heads], pa.int32()), pa.array((reach - shift)[tails] if len(heads) else heads, pa.int32())], ["first", "last"])
-            names = sorted({(x, index.item_ids[y]) for x, y in zip(text.tolist(), item.tolist())})
+            names = sorted({(x, index.item_ids[y]) for x, y in zip(held_by.tolist(), item.tolist())})
             yield pa.record_batch({
                 "doc_id": batch.column(0), "text_key": batch.column(2), "n_words": pa.array(sizes, pa.int64()),
                 "spans": _nested(np.bincount(t[heads].astype(int), minlength=count), spans),

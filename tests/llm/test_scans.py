@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -73,6 +74,35 @@ def test_contamination_query(spark):
     assert got == expected_contamination(docs, items)
 
 
+def test_contamination_of_periodic_texts(spark, make_docs):
+    """Ties everywhere, items that are copies, and windows that several items hold in part."""
+    rng = random.Random(8)
+    def few(n):
+        return " ".join(rng.choice("ab") for _ in range(n))
+    items = [(i, few(rng.choice([1, 3, 10, 12, 25]))) for i in range(8)] + [(20, "a " * 40), (21, "a " * 40), (22, "a b " * 30), (23, "a b " * 9 + "a a a"), (24, "b")]
+    docs = [(i, few(rng.choice([2, 9, 10, 11, 40, 120]))) for i in range(25)] + [(50, "a " * 300), (51, "a b " * 100 + "c " + "a " * 10), (52, "a b " * 5)]
+    found = winnow.digest_columns(winnow.contamination(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")))
+    got = sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()], key=repr)
+    assert got == expected_contamination(docs, items)
+
+
+def test_contamination_work_does_not_multiply():
+    """A text of a million equal words, an item of as many tied places, and thousands of copies of an item."""
+    index = winnow.build_index(["x", *map(str, range(3000))], ["a " * 50_000, *["one two three four five six seven eight nine ten eleven twelve"] * 3000], 10, 5)
+    assert len(index.windows[10].hashes) == 4 and len(index.windows[10].items) == 3001
+    sizes, text, first, last, held_by, item = winnow.find_spans(pa.array(["a " * 1_000_000, "zero one two three four five six seven eight nine ten eleven twelve", None, ""]), index, 10, 5)
+    assert sizes.tolist() == [1_000_000, 13, 0, 0] and len(first) == 1_000_000 - 9 + 3
+    assert sorted(zip(held_by.tolist(), item.tolist())) == [(0, 0), *((1, 1 + i) for i in range(3000))]
+
+
+def test_contamination_keeps_other_columns_apart(spark, make_docs):
+    """Extra columns that are named like those of the operator."""
+    items = spark.createDataFrame([(1, "one two three", "x", 1)], "item_id long, text string, item string, spans int")
+    docs = make_docs([(1, "zero one two three four")]).withColumn("spans", F.lit(1)).withColumn("text_key", F.lit("k")).withColumn("items", F.lit(2))
+    assert [tuple(r)[:4] for r in winnow.digest_columns(winnow.contamination(docs, items)).collect()] == [(1, 5, 3, 1)]
+    assert winnow.without_hits(docs, items).count() == 0
+
+
 def test_contamination_of_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert winnow.contamination(make_docs([(1, "a b c")]), none).count() == 1
