@@ -1,7 +1,8 @@
 """WARC archives with each payload stored once: headers by payload digest, revisits resolved to the first response.
 
 Of the records with equal payloads the one of the smallest key is written as a response and the others as revisits that
-refer to it. Archives are gzip files written by Spark's text writer (each record one value, the two line breaks after it
+refer to it. Only headers (key, url, digest, size) are grouped and joined by digest, so a payload that a third of all pages
+share brings no payloads together; payloads move once, dealt to archives by record, where the revisits join them. Archives are gzip files written by Spark's text writer (each record one value, the two line breaks after it
 the separator), so they go wherever Spark can write. Reading follows Content-Length, so a payload may hold anything.
 
 Null payload counts as empty. Rows that repeat the smallest key of a payload are responses too; a null key is a revisit
@@ -48,22 +49,24 @@ def headers(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
 
 
 def _record_id(page_id: Column, url: Column, digest: Column) -> Column:
-    name = F.md5(F.concat_ws("|", page_id, url, digest))
+    # A missing key is an empty place, so that no url can stand in for it.
+    name = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("")), url, digest))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def resolve_types(records: DataFrame, min_bytes: int) -> DataFrame:
-    """Adds record_id, record_type and what a revisit refers to; `records` as made by `headers`."""
-    first = F.min(F.struct("page_id", "url")).alias("first")
-    repeated = records.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(first)
-    alone = records.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("rows"))
-    # Only payloads that occur more than once; written, so that the join below deals both sides by plain exchanges.
-    repeated = settle(repeated.join(alone.where("rows > 1").select("payload_digest"), "payload_digest").select("payload_digest", "first"))
-    joined = records.join(repeated, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.coalesce(F.col("page_id") == F.col("first.page_id"), F.lit(False))
-    return joined.select(
-        *records.columns, _record_id(F.col("page_id"), F.col("url"), F.col("payload_digest")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, _record_id(F.col("first.page_id"), F.col("first.url"), F.col("payload_digest"))).alias("refers_to_record"), F.when(revisit, F.col("first.url")).alias("refers_to_url"))
+def find_revisits(slim: DataFrame, min_bytes: int) -> DataFrame:
+    """(record_id, refers_to_record, refers_to_url) of every record that is a revisit, each once.
+
+    `slim` holds record_id, page_id, url, payload_bytes and payload_digest, and is read several times.
+    """
+    large = slim.where(F.col("payload_bytes") >= min_bytes)
+    digests = large.groupBy("payload_digest").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "record_id"))).alias("first"))
+    # Written, so that the join below knows its size and can split a digest that many records share.
+    repeated = settle(digests.where("rows > 1 and first is not null").select("payload_digest", "first"))
+    same = F.coalesce(F.col("page_id") == F.col("first.page_id"), F.lit(False))
+    found = large.join(repeated, "payload_digest").where(~same)
+    return found.select("record_id", F.col("first.record_id").alias("refers_to_record"), F.col("first.url").alias("refers_to_url")).distinct()
 
 
 def record_text(date: Column) -> Column:
@@ -82,14 +85,22 @@ def record_text(date: Column) -> Column:
     return F.concat(F.lit(f"WARC/1.1{LINE}"), *always, page, refers, length, block)
 
 
+def typed_records(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Headers and payload of every row with its record_type and what it refers to, dealt to partitions of about `archive_bytes`."""
+    rows = headers(pages, key, url, payload).withColumn("record_id", _record_id(F.col("page_id"), F.col("url"), F.col("payload_digest")))
+    slim = settle(rows.drop("html"))
+    total = slim.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n")).first()["n"]
+    revisits = settle(find_revisits(slim, min_bytes))
+    # The join takes over the archives' partitions, so payloads are shuffled once.
+    dealt = rows.repartition(max(1, -(-total // archive_bytes)), "record_id").join(revisits, "record_id", "left")
+    return dealt.withColumn("record_type", F.when(F.col("refers_to_record").isNotNull(), "revisit").otherwise("response"))
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record per row below `folder`, in archives of about `archive_bytes` before compression."""
-    rows = headers(pages, key, url, payload)
-    total = rows.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n")).first()["n"]
-    typed = resolve_types(rows, min_bytes)
     date = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    dealt = typed.select("record_id", record_text(date).alias("value")).repartition(max(1, -(-total // archive_bytes)), "record_id")
-    dealt.select("value").write.option("lineSep", LINE + LINE).option("compression", "gzip").text(folder)
+    records = typed_records(pages, min_bytes, key, url, payload, archive_bytes).select(record_text(date).alias("value"))
+    records.write.option("lineSep", LINE + LINE).option("compression", "gzip").text(folder)
 
 
 def parse_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -55,6 +55,21 @@ def test_archive_stores_each_payload_once(spark):
     assert {f["WARC-Refers-To"] for f, _ in records if f["WARC-Type"] == "revisit"} == {f["WARC-Record-ID"] for f, _ in records if f["WARC-Type"] == "response"}
 
 
+def test_payloads_move_once_and_never_by_digest(spark):
+    """Also where no table is small enough to be sent whole."""
+    pages = spark.createDataFrame([(i, f"u{i}", "page not found" if i % 3 else f"page {i}") for i in range(60)], "page_id long, url string, html string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        typed = warc.typed_records(pages, archive_bytes=100)
+        plan = typed._jdf.queryExecution().executedPlan().toString()
+        assert typed.groupBy("record_type").count().collect() and typed.where("record_type = 'revisit'").count() == 39
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moves = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moves) == 2 and all("hashpartitioning(record_id" in line for line in moves)
+
+
 def test_archive_query(spark):
     pages = read("pages", "page_id", "url", "html")
     got = sorted([tuple(r) for r in queries.op3_warc_revisits(spark, SMALL).collect()], key=repr)
