@@ -27,9 +27,9 @@ FLAG_COLUMNS = ["neutered", "approved_for_breeding", "frozen_semen", "artificial
 MAX_PER_PAGE = 100
 
 
-def _contains_pattern(term: str) -> str:
+def contains_pattern(term: str) -> str:
     # A backslash before an ordinary character means that character; Spark would reject it.
-    return "%" + re.sub(r"\\([^%_\\])", r"\1", term) + "%"
+    return "%" + re.sub(r"\\(.)", lambda pair: pair[0] if pair[1] in "%_\\" else pair[1], term, flags=re.DOTALL) + "%"
 
 
 def filter_search_text(dogs: DataFrame, term: str | None) -> DataFrame:
@@ -38,12 +38,12 @@ def filter_search_text(dogs: DataFrame, term: str | None) -> DataFrame:
     present = [c for c in SEARCH_COLUMNS if c in dogs.columns]
     hit = F.lit(False)
     for name in present:
-        hit = hit | F.col(name).ilike(_contains_pattern(term))
+        hit = hit | F.col(name).ilike(contains_pattern(term))
     return dogs.filter(hit)
 
 
 def filter_contains(dogs: DataFrame, column: str, term: str | None) -> DataFrame:
-    return dogs.filter(F.col(column).ilike(_contains_pattern(term))) if term else dogs
+    return dogs.filter(F.col(column).ilike(contains_pattern(term))) if term else dogs
 
 
 def filter_color(dogs: DataFrame, term: str | None) -> DataFrame:
@@ -86,7 +86,7 @@ def filter_by_person(
     """Animals linked to a person whose name contains `name`."""
     if not name:
         return dogs
-    matching = people.filter(F.col("name").ilike(_contains_pattern(name))).select(F.col("id").alias(person_key))
+    matching = people.filter(F.col("name").ilike(contains_pattern(name))).select(F.col("id").alias(person_key))
     linked = links.join(matching, person_key, "left_semi").select(F.col("dog_id").alias("id"))
     return dogs.join(linked, "id", "left_semi")
 

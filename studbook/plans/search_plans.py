@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from ..operators import aggregates as agg, relations as rel, search as s
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import aggregates as agg, relations as rel, search as s, text_index
+from ..session import settle
 from . import query
 
 FLAGS = ["neutered", "approved_for_breeding", "frozen_semen", "artificial_insemination", "is_new"]
@@ -17,6 +20,21 @@ def filter_search_text(t):
     return s.filter_search_text(t("registry_ext"), "A_C%7").select("id", "registered_name", "call_name")
 
 
+INDEXED_TERMS = ["ALL12", "tic 0_%E", "rctic%b", "l1"]
+
+
+@query("search_text_indexed", " union all ".join(f"""
+select '{term}' as term, id, registered_name, call_name from registry_ext
+where registered_name ilike '%{term}%' or registration_number ilike '%{term}%' or call_name ilike '%{term}%' or sire_name ilike '%{term}%' or dam_name ilike '%{term}%'"""
+                                            for term in INDEXED_TERMS))
+def search_text_indexed(t):
+    """Rows of several terms, found over stored grams; the last term is too short for a gram."""
+    dogs = settle(t("registry_ext"))
+    index = text_index.build_index(dogs)
+    found = [text_index.search_text(dogs, index, term).select(F.lit(term).alias("term"), "id", "registered_name", "call_name") for term in INDEXED_TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("filter_color", "select id, color from registry_ext where color ilike '%build%'")
 def filter_color(t):
     return s.filter_color(t("registry_ext"), "Build").select("id", "color")
