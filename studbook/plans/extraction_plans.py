@@ -112,8 +112,7 @@ def extract_listing_cards(t):
 select dog_id as page_id, 0 as position, registry, cast(make_date(2020, 1, cast(1 + id % 28 as bigint)) as timestamp) as test_date, cast(null as timestamp) as report_date,
   case when id % 10 = 0 then null else age_in_months end as age_in_months, 'NORMAL' as conclusion, ofa_number from medical_record""")
 def extract_medical_rows(t):
-    # Tens of thousands of short pages out of one small file: much work for few bytes.
-    return ex.extract_medical_rows(t("html_medical").repartition(t.spark.sparkContext.defaultParallelism))
+    return ex.extract_medical_rows(t("html_medical"))
 
 
 @query("extract_table_rows", """
@@ -191,9 +190,7 @@ def map_source_a(t):
 select id as page_id, registered_name, coalesce(color, '') as color, coalesce(sire_name, '') as sire_name, coalesce(cast(sire_id as string), '') as sire_link_name, 2 as sex,
   make_date(2000 + id % 20, case when id % 2 = 0 then 5 else 12 end, 1 + id % 28) as born, md5(registered_name) as uuid, 'feed_b' as source from registry_named""")
 def map_source_b(t):
-    pages = t("html_labels")
-    info = ex.label_map(ex.extract_label_values(pages), ex.extract_label_links(pages, BASE))
-    return mp.map_source_b(info, "feed_b").select(
+    return mp.map_source_b(ex.label_info(t("html_labels"), BASE), "feed_b").select(
         "page_id", "registered_name", "color", "sire_name", "sire_link_name", "sex", F.col("date_of_birth").cast("date").alias("born"), "uuid", "source")
 
 

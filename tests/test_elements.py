@@ -80,3 +80,37 @@ def test_a_long_page_takes_time_in_proportion():
     rows = "<table>" + "<tr><td>cell<td>other" * 60_000
     assert len(find_in(rows, Search("tr", cells=2))) == 60_000
     assert len(find_in("<p>" + "<b><i>x" * 150_000 + "</u>" * 1000, Search("p"))) == 1
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("read", [
+    ex.extract_labelled_table, ex.extract_label_values, ex.extract_listing_cards, ex.extract_listing_rows_wide, ex.extract_parents_by_rowspan, ex.extract_offspring_rows, ex.extract_page_outline,
+    lambda p: ex.extract_label_links(p, "http://b/"), lambda p: ex.extract_photo_ids(p, "http://b"), lambda p: ex.extract_listing_rows(p, "http://b/"), lambda p: ex.extract_table_rows(p, ["a", "b"]),
+    lambda p: ex.extract_section_links(p, "x", "http://b/")])
+def test_pages_of_one_partition_are_parsed_on_all_cores_and_once(spark, read):
+    own = spark.range(0, 500, 1, 1).selectExpr("id as page_id", "concat('<p>', id) as html")
+    text = plan(read(own))
+    assert text.count("MapInArrow") == 1, text
+    assert "hashpartitioning(page_id#" in text and "REPARTITION_BY_NUM" in text
+    used = find(own, Search("p")).selectExpr("spark_partition_id() as part").distinct().count()
+    assert used == spark.sparkContext.defaultParallelism
+
+
+def test_page_ids_that_repeat_or_are_null(spark):
+    html = "<div class=sadrzaj><h2>Rex{}</h2><table class=podaci><tr><td>Sex:<td>male<tr><td>Born:<td>{}</table></div>"
+    own = spark.createDataFrame([(1, html.format("", 1)), (1, html.format("", 1)), (2, "x"), (None, html.format("", 1)), (3, None), (4, html.format(4, 4))], "page_id bigint, html string")
+    found = sorted((r.page_id or 0, r.registered_name or "", sorted(r.info.items())) for r in ex.extract_labelled_table(own).collect())
+    one = [("born", "1"), ("sex", "male")]
+    assert found == [(0, "", []), *[(1, "Rex", one)] * 4, (2, "", []), (3, "", []), (4, "Rex4", [("born", "4"), ("sex", "male")])]
+    article = "<article><h1>A</h1><p>1<p>2</article><footer>F</footer>"
+    own = spark.createDataFrame([(1, article), (1, article), (2, "x"), (None, article), (3, "<article><p>1</article>")], "page_id bigint, html string")
+    outline = sorted((r.page_id or 0, r.heading or "", r.paragraphs, r.footer or "") for r in ex.extract_page_outline(own).collect())
+    assert outline == [(0, "", 0, ""), *[(1, "A", 4, "F")] * 8, (2, "", 0, ""), (3, "", 1, "")]
+
+
+def test_label_map_of_one_pass(spark):
+    found = ex.label_info(pages(spark, NESTED, None, "x"), "http://b/").collect()
+    assert [(r.page_id, r.info) for r in found] == [(0, {"name": "Rexthe2nd & last", "окрас": "darkredé!A", "владелец": "AnnBobby", "владелец_url": "http://b/a.php?x=1&y=2"})]
