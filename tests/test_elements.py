@@ -114,3 +114,11 @@ def test_page_ids_that_repeat_or_are_null(spark):
 def test_label_map_of_one_pass(spark):
     found = ex.label_info(pages(spark, NESTED, None, "x"), "http://b/").collect()
     assert [(r.page_id, r.info) for r in found] == [(0, {"name": "Rexthe2nd & last", "окрас": "darkredé!A", "владелец": "AnnBobby", "владелец_url": "http://b/a.php?x=1&y=2"})]
+
+
+def test_only_the_columns_asked_for_are_made(spark):
+    own = pages(spark, NESTED)
+    label = Search("div.textLabel", parts=(("value", "+div.textDescription"),))
+    every, some = find(own, label), find(own, label, columns=("position", "parts"))
+    assert some.columns == ["page_id", "position", "parts"]
+    assert [tuple(r) for r in some.orderBy("position").collect()] == [tuple(r) for r in every.select(some.columns).orderBy("position").collect()]
