@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rows import stack_rows
-from ..session import settle
+from ..session import settle, unsent
 
 MAX_PATH = 57
 LENGTH_BITS = 6
@@ -57,13 +57,13 @@ def parent_edges(dogs: DataFrame) -> DataFrame:
             (F.lit(0).cast("bigint"), F.col("sire_id")), (F.lit(1).cast("bigint"), F.col("dam_id")),
         ),
     ).filter("parent is not null")
-    return long.join(dogs.select(F.col("id").alias("parent")), "parent", "left_semi")
+    return long.join(unsent(dogs.select(F.col("id").alias("parent"))), "parent", "left_semi")
 
 
 def _start(edges: DataFrame, roots: DataFrame | None) -> DataFrame:
     first = edges.select(F.col("child").alias("root"), F.col("parent").alias("node"), F.col("letter").alias("bits"))
     if roots is not None:
-        first = first.join(roots.select(F.col("id").alias("root")), "root", "left_semi")
+        first = first.join(unsent(roots.select(F.col("id").alias("root"))), "root", "left_semi")
     return first.withColumn("gen", F.lit(1))
 
 
@@ -72,7 +72,7 @@ def _extend(paths: DataFrame, tails: DataFrame) -> DataFrame:
     tail = tails.select(
         F.col("root").alias("node"), F.col("node").alias("end"), F.col("bits").alias("tail_bits"), F.col("gen").alias("tail_gen")
     )
-    joined = paths.alias("p").join(tail.alias("t"), "node")
+    joined = paths.alias("p").join(unsent(tail).alias("t"), "node")
     bits = F.call_function("shiftleft", F.col("bits"), F.col("tail_gen")).bitwiseOR(F.col("tail_bits"))
     return joined.select("root", F.col("end").alias("node"), bits.alias("bits"), (F.col("gen") + F.col("tail_gen")).alias("gen"))
 
@@ -118,7 +118,7 @@ def lineage_tree(dogs: DataFrame, generations: int = 5, ids: DataFrame | None =
     """
     if not 1 <= generations <= max_generations:
         raise ValueError(f"generations lies in 1..{max_generations}")
-    roots = dogs.select("id") if ids is None else dogs.select("id").join(ids.select("id"), "id", "left_semi")
+    roots = dogs.select("id") if ids is None else dogs.select("id").join(unsent(ids.select("id")), "id", "left_semi")
     paths = ancestor_paths(parent_edges(dogs), generations - 1, None if ids is None else roots)
     tree = with_roots(paths, roots)
     return tree.join(dogs.withColumnRenamed("id", "node"), "node").withColumn("path", path_text(F.col("bits"), F.col("gen")))
@@ -138,7 +138,7 @@ def lineage_list(dogs: DataFrame, generations: int = 5, ids: DataFrame | None =
 
 def lineage_nodes(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = None) -> DataFrame:
     """Distinct animals per root with the smallest generation at which each appears."""
-    roots = dogs.select("id") if ids is None else dogs.select("id").join(ids.select("id"), "id", "left_semi")
+    roots = dogs.select("id") if ids is None else dogs.select("id").join(unsent(ids.select("id")), "id", "left_semi")
     paths = ancestor_paths(parent_edges(dogs), generations - 1, None if ids is None else roots)
     return with_roots(paths, roots).groupBy("root", "node").agg(F.min("gen").alias("gen"))
 
@@ -147,7 +147,7 @@ def lineage_members(dogs: DataFrame, generations: int = 5, ids: DataFrame | None
     """Distinct animals over all trees, as `id`. Each level keeps every animal once, whatever root it came from."""
     if ids is None:
         return dogs.select("id")
-    level = dogs.select("id").join(ids.select("id"), "id", "left_semi")
+    level = dogs.select("id").join(unsent(ids.select("id")), "id", "left_semi")
     up = parent_edges(dogs).select(F.col("child").alias("id"), "parent")
     levels = [level]
     for _ in range(generations - 1):
@@ -203,7 +203,7 @@ def _longer_text(key: Column) -> Column:
 def _climb(rows: DataFrame, edges: DataFrame, keys: list[str], longer: Callable[[Column], Column] = _longer) -> DataFrame:
     """Each row moved on to both parents, every key longer by that edge. Keys of equal length keep their order."""
     up = edges.select(F.col("child").alias("node"), "letter", "parent")
-    joined = rows.alias("r").join(up.alias("e"), "node")
+    joined = rows.alias("r").join(unsent(up).alias("e"), "node")
     return joined.select("root", F.col("parent").alias("node"), *[longer(F.col(k)).alias(k) for k in keys])
 
 
@@ -237,7 +237,7 @@ def bounded_levels(edges: DataFrame, generations: int, roots: DataFrame | None =
 def lineage_bounded_set(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = None) -> DataFrame:
     """Animals within generations - 1 edges of each root, with the depth of the last depth-first visit."""
     _check_generations(generations)
-    roots = dogs.select("id") if ids is None else dogs.select("id").join(ids.select("id"), "id", "left_semi")
+    roots = dogs.select("id") if ids is None else dogs.select("id").join(unsent(ids.select("id")), "id", "left_semi")
     edges = parent_edges(dogs)
     if generations - 1 > ALL_PATHS_DEPTH:
         edges = settle(edges)
@@ -265,7 +265,7 @@ def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = No
     """
     _check_generations(generations)
     edges = settle(parent_edges(dogs))
-    roots = None if ids is None else dogs.select("id").join(ids.select("id"), "id", "left_semi")
+    roots = None if ids is None else dogs.select("id").join(unsent(ids.select("id")), "id", "left_semi")
     keys = ["s_low", "d_low", "s_end", "d_end"]
     base = settle(bounded_levels(edges, generations, roots).select("root", "node", *[key_text(F.col(k)).alias(k) for k in keys]))
     known = base.select("root", "node", "s_low", "d_low")
@@ -282,7 +282,7 @@ def side_paths(dogs: DataFrame, generations: int = 5, ids: DataFrame | None = No
     if not better:
         return known
     late = settle(_least_paths(better)).withColumnsRenamed({"s_low": "s_late", "d_low": "d_late"})
-    return known.join(late, ["root", "node"], "left").select(
+    return known.join(unsent(late), ["root", "node"], "left").select(
         "root", "node", *[F.least(f"{k}_low", f"{k}_late").alias(f"{k}_low") for k in SIDES])
 
 
@@ -295,7 +295,7 @@ def _one_longer(known: list[DataFrame], frontier: DataFrame, edges: DataFrame) -
     grown = _climb(frontier, edges, ["s_low", "d_low"], _longer_text)
     new = settle(grown.groupBy("root", "node").agg(F.min("s_low").alias("s_new"), F.min("d_low").alias("d_new")))
     # Written first, so the lookup knows the size of what was reached.
-    met = reduce(DataFrame.unionByName, [table.join(new, ["root", "node"]) for table in known])
+    met = reduce(DataFrame.unionByName, [table.join(unsent(new), ["root", "node"]) for table in known])
     least = met.groupBy("root", "node").agg(*[F.min(c).alias(c) for c in ("s_low", "d_low", "s_new", "d_new")])
     changed = [
         F.when(F.coalesce(F.col(f"{k}_new") < F.col(f"{k}_low"), F.col(f"{k}_low").isNull()), F.col(f"{k}_new")).alias(f"{k}_low")
@@ -340,7 +340,7 @@ def contributions(paths: DataFrame, dogs: DataFrame) -> DataFrame:
     )
     n1, n2 = F.length("s_low") - 1, F.length("d_low") - 1
     share = F.pow(F.lit(0.5), (n1 + n2 + 1).cast("double")) * (1 + F.col("ancestor_coi"))
-    return _shared(paths).join(facts, "node").select(
+    return _shared(paths).join(unsent(facts), "node").select(
         "root", "node", "ancestor_name", n1.alias("generations_to_sire"), n2.alias("generations_to_dam"),
         "ancestor_coi", share.alias("contribution"), "s_low", "d_low",
     )
@@ -352,14 +352,14 @@ def inbreeding_from(paths: DataFrame, dogs: DataFrame, roots: DataFrame) -> Data
         F.sum("contribution").alias("coi"), F.count("*").alias("common_ancestors")
     )
     return (
-        roots.select(F.col("id").alias("root")).join(total, "root", "left")
+        roots.select(F.col("id").alias("root")).join(unsent(total), "root", "left")
         .select("root", F.coalesce("coi", F.lit(0.0)).alias("coi"), F.coalesce("common_ancestors", F.lit(0)).alias("common_ancestors"))
     )
 
 
 def inbreeding(dogs: DataFrame, generations: int = 10, ids: DataFrame | None = None) -> DataFrame:
     """Inbreeding coefficient by first paths, for all given roots in one plan and without a cap on their number."""
-    roots = dogs.select("id") if ids is None else dogs.select("id").join(ids.select("id"), "id", "left_semi")
+    roots = dogs.select("id") if ids is None else dogs.select("id").join(unsent(ids.select("id")), "id", "left_semi")
     return inbreeding_from(side_paths(dogs, generations, ids), dogs, roots)
 
 
@@ -371,7 +371,7 @@ def touched_by(dogs: DataFrame, changed: DataFrame) -> DataFrame:
     has no bound. Each round joins the animals just reached with the edges, three columns wide.
     """
     links = settle(parent_edges(dogs).select(F.col("parent").alias("url"), F.col("child").alias("link")))
-    seeds = dogs.select("id").join(changed.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("url"))
+    seeds = dogs.select("id").join(unsent(changed.select("id").distinct()), "id", "left_semi").select(F.col("id").alias("url"))
     return crawl_frontier(links, seeds, 1 << 30).select(F.col("url").alias("id"))
 
 
@@ -436,8 +436,8 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     seen = level
     steps = links.select(F.col("url").alias("url"), "link")
     for distance in range(1, depth + 1):
-        following = level.join(steps, "url").select(F.col("link").alias("url")).distinct()
-        level = settle(following.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(distance)))
+        following = level.join(unsent(steps), "url").select(F.col("link").alias("url")).distinct()
+        level = settle(following.join(unsent(seen.select("url")), "url", "left_anti").withColumn("depth", F.lit(distance)))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
