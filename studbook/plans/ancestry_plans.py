@@ -130,9 +130,10 @@ from walk w join related x on x.dog_id = w.node where w.root in (select rec_id f
 def lineage_document_relations(t):
     """The relations in the nested documents by root, path and kind."""
     documents, parts = _documents(t)
-    flat = ped.pedigree_relations(ped.pedigree_rows(documents, GENERATIONS), parts)
-    return flat.groupBy("root", "path", "relation").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("related_id").alias("sum_ids"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
+    totals = ped.pedigree_relations(ped.pedigree_rows(documents, GENERATIONS), parts, by_kind=True).drop("node")
+    # An animal has one document unless an id has several records; only then places of one root must be brought together.
+    repeated = t.stored("registry").groupBy("id").count().where("count > 1")
+    return totals if repeated.isEmpty() else ped.merged_kinds(totals, "root", "path")
 
 
 @query("lineage_list", """

@@ -1,11 +1,13 @@
 """Nested pedigree documents against plain recursion."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from studbook.operators import pedigrees as ped
+from studbook.session import shared_folder
 
 DOG = "id bigint, sire_id bigint, dam_id bigint, uuid string, registered_name string, call_name string, sex int, color string, date_of_birth date"
 PROFILE = "dog_id bigint, relation string, related_id bigint, label string"
@@ -68,6 +70,41 @@ def test_parts_beyond_the_documents_are_kept(spark):
     assert got == sorted(tuple(map(str, r)) for r in want)
 
 
+@pytest.mark.parametrize("part_rows", [4, 1000])
+def test_totals_by_kind_equal_the_grouped_relations(spark, part_rows):
+    dogs, relations = cases(25, 9)
+    relations += [(7, "owner", None, None), (8, "gift", None, "z"), (8, "gift", None, "a")]
+    parts = ped.relation_parts(spark.createDataFrame(relations, PROFILE), part_rows=part_rows).cache()
+    rows = ped.pedigree_rows(ped.pedigree_documents(spark.createDataFrame(dogs, DOG), parts, 4), 4)
+    keys = ["root", "path", "node", "relation"]
+    want = ped.pedigree_relations(rows, parts).groupBy(*keys).agg(F.count(F.lit(1)), F.sum("related_id"), F.min("label"), F.max("label"))
+    got = ped.pedigree_relations(rows, parts, by_kind=True).select(*keys, "n_rows", "sum_ids", "first_label", "last_label")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_several_records_of_an_id_give_a_document_for_each_choice(spark):
+    dogs = [(1, None, None, "u1", "a", None, 1, None, None), (1, None, None, "u1", "b", None, 1, None, None), (2, 1, 999, "u2", "c", None, 2, None, None), (3, 1, 2, "u3", "d", None, 1, None, None)]
+    parts = ped.relation_parts(spark.createDataFrame([(1, "owner", 5, "x")], PROFILE))
+    documents = ped.pedigree_documents(spark.createDataFrame(dogs, DOG), parts, 3)
+    names = documents.where("root = 3").select("document.sire.registered_name", F.col("document.dam.sire.registered_name").alias("above"), F.size("document.dam.sire.relations").alias("n"))
+    assert sorted(map(tuple, names.collect())) == [("a", "a", 1), ("a", "b", 1), ("b", "a", 1), ("b", "b", 1)]
+    assert documents.where("root = 1 and document.sire is null and document.dam is null").count() == 2 and documents.where("root = 2").count() == 2
+
+
+def test_relations_are_written_once_however_many_levels_hold_them(spark):
+    dogs = [(i, i - 2 if i > 2 else None, i - 1 if i > 2 else None, None, None, None, 1, None, None) for i in range(1, 31)]
+    rng = random.Random(4)
+    parts = ped.relation_parts(spark.createDataFrame([(i, "owner", n, rng.randbytes(500).hex()) for i in range(1, 31) for n in range(20)], PROFILE)).cache()
+    parts.count()
+    def written():
+        return {path: path.stat().st_size for path in Path(shared_folder(spark).removeprefix("file:")).rglob("*.parquet")}
+    before = written()
+    documents = ped.pedigree_documents(spark.createDataFrame(dogs, DOG), parts, 5)
+    grown = sum(size for path, size in written().items() if path not in before)
+    assert 300_000 < grown < 900_000, grown
+    assert documents.where("root = 30").select(F.size("document.sire.dam.sire.dam.relations").alias("n")).first()["n"] == 20
+
+
 def test_hot_animal_is_dealt_by_part(spark):
     """The grouping that makes the lists must not take over partitions of whole animals."""
     plan = ped.relation_parts(spark.createDataFrame(cases(5, 1)[1], PROFILE))._jdf.queryExecution().executedPlan().toString()
