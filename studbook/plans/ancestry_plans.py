@@ -117,10 +117,12 @@ where w.root in (select rec_id from incoming)""", walk(GENERATIONS) | {"related"
 def lineage_documents(t):
     """One row for each place of each nested document, with the number of relations that stand there."""
     documents, parts = _documents(t)
-    rows = ped.pedigree_rows(documents, GENERATIONS)
+    # Counted before anything else: the lists don't move for their lengths.
+    rows = ped.pedigree_rows(documents, GENERATIONS).withColumn("n_relations", F.size("relations").cast("bigint")).drop("relations")
     beyond = parts.where("part > 0").groupBy(F.col("dog_id").alias("node")).agg(F.sum(F.size("relations")).alias("more"))
-    count = (F.size("relations") + F.coalesce("more", F.lit(0))).cast("bigint")
-    return rows.join(beyond, "node", "left").select("root", "path", "gen", "node", *ped.FACTS, count.alias("n_relations"))
+    if not beyond.isEmpty():
+        rows = rows.join(beyond, "node", "left").withColumn("n_relations", F.col("n_relations") + F.coalesce("more", F.lit(0)))
+    return rows.select("root", "path", "gen", "node", *ped.FACTS, "n_relations")
 
 
 @query("lineage_document_relations", """
