@@ -122,3 +122,9 @@ def test_only_the_columns_asked_for_are_made(spark):
     every, some = find(own, label), find(own, label, columns=("position", "parts"))
     assert some.columns == ["page_id", "position", "parts"]
     assert [tuple(r) for r in some.orderBy("position").collect()] == [tuple(r) for r in every.select(some.columns).orderBy("position").collect()]
+
+
+def test_labelled_pages_are_not_sent_to_the_driver(spark):
+    """The parsed pages look small beside the texts in them; they are shuffled all the same."""
+    text = plan(ex.extract_labelled_table(pages(spark, "<div class=sadrzaj><h2>Rex</h2></div>")))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
