@@ -52,3 +52,7 @@ def test_similar_names_are_joined_on_keys(spark, stored):
     text = plan(similar_names.similar_pairs(names, names, 0.8))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert any("levenshtein" in line and "key" in line for line in text.splitlines() if "Join" in line)
+
+
+def test_third_feed_sends_no_pages_to_the_driver(spark):
+    assert "BroadcastHashJoin" not in plan(driver.queries()["map_source_c"](spark, SMALL))
