@@ -1,5 +1,7 @@
 """Reading pages as authors leave them."""
 
+import random
+
 import pytest
 
 from studbook.operators import extraction as ex
@@ -128,3 +130,21 @@ def test_labelled_pages_are_not_sent_to_the_driver(spark):
     """The parsed pages look small beside the texts in them; they are shuffled all the same."""
     text = plan(ex.extract_labelled_table(pages(spark, "<div class=sadrzaj><h2>Rex</h2></div>")))
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_plain_markup_is_read_as_the_general_parser_reads_it():
+    """Random mixes of plain and broken markup, with and without the short way."""
+    class General(Page):
+        def _plain(self, html):
+            return 0
+
+    def read(page):
+        return [(e.tag, e.attributes, e.number, e.last, e.texts, e.parent.number) for e in page.elements], page.texts
+    pieces = ["<", "</", ">", "/>", "a", " ", "\n", "=", '"', "'", "&amp;", "&copy", "&#65;", "x=1", 'href="u?a=1&amp;b=2"', "class='k l'", "<!--", "-->", "--", "<!DOCTYPE html>", "<![CDATA[", "<?pi", "é", "\xa0", "<div class=a>", "</div>",
+              "<td>", "</td >", "<br/>", "<img src=x/>", "<a href=x y>", "<script>", "</script>", "<style>", "</style >", "<title>", "</title>", "<textarea>", "<P CLASS=Q>", '<x-y a:b.c-d="">', '<a b="1"c>', "<a b==c>", "<a b = c>", "<!-- c -->", "<iframe>", "<li>", "</p>"]
+    rng = random.Random(11)
+    for _ in range(8000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 25)))
+        assert read(Page(html)) == read(General(html)), html
+    whole = "<!DOCTYPE html><p class='a b' id=x hidden>1 &lt; 2<!-- no --><script>var t='</p>';</script><br/></P>"
+    assert Page("")._plain(whole) == len(whole)

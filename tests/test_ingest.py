@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from studbook.operators import ingest as ing
+from studbook.operators import elements, ingest as ing
 from studbook.operators.components import components
 
 RECORD = ("rec_id bigint, registered_name string, uuid string, date_of_birth date, sex int, color string, sire_name string, dam_name string, source string")
@@ -104,3 +104,17 @@ def test_a_batch_given_twice_changes_nothing_more(spark, state):
 def test_an_empty_batch(spark, state):
     after, animals = ing.ingest(state, batch(spark, []))
     assert animals.count() == 0 and after.registry.count() == 2 and after.owner_links.count() == 2 and after.litters.count() == 0
+
+
+def test_pages_of_a_batch_are_parsed_once(spark, monkeypatch):
+    """Labels, people, siblings and puppies come from one pass over the pages."""
+    passes, own = [], elements._parsed
+    monkeypatch.setattr(elements, "_parsed", lambda *given: passes.append(given[1]) or own(*given))
+    html = "<h1 itemprop=name>{0}</h1><div class=titlename><h1 itemprop=name>{0}</h1></div><div class=textLabel>Владелец:</div><div class=textDescription><a href=o>Ann</a></div><div class=siblings>{1}</div><div class=children>{2}</div>"
+    link = "<a href='details.php?name={}'>x</a>".format
+    own_pages = spark.createDataFrame([(1, "http://b/details.php?name=a", html.format("Rex", link("b"), "")), (2, "http://b/details.php?name=b", html.format("Bea", "", link("a") + link("c")))], "page_id bigint, url string, html string")
+    b = ing.read_pages(own_pages, "http://b/", "s")
+    assert len(passes) == 1
+    assert {(r.rec_id, r.registered_name) for r in b.records.collect()} == {(1, "Rex"), (2, "Bea")}
+    assert rows(b.relations, "rec_id", "role", "other_rec") == [(1, "sibling", 2), (2, "puppy", 1)]
+    assert rows(b.people, "rec_id", "role", "name") == [(1, "owner", "Ann"), (2, "owner", "Ann")]
